@@ -1 +1,3 @@
-
+"""Queries over the driver tables, each with its SQL twin where SQL can say it."""
+from .registry import ORACLES, QUERIES
+from . import q_score  # noqa: F401
