@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .quantiles import bin_index, group_ranks, quantiles
+from .quantiles import bin_index, group_ranks, inner_edges, quantiles
 from .regimes import add_regime
 
 BY = ("zone", "model")
@@ -66,7 +66,8 @@ def quantile_bins(errors: DataFrame, value: str, bins: int = 10,
     """Tag rows with ``bin``: right-closed equal-frequency bins of ``value`` per group."""
     rows = _scored(errors)
     edges = quantiles(rows, by, value, [i / bins for i in range(bins + 1)], "_edges")
-    return rows.join(edges, list(by)).withColumn("bin", bin_index(F.col(value), F.col("_edges"))).drop("_edges")
+    borders = edges.withColumn("_edges", inner_edges(F.col("_edges")))
+    return rows.join(borders, list(by)).withColumn("bin", bin_index(value, "_edges", bins)).drop("_edges")
 
 
 def bin_means(errors: DataFrame, value: str = "true_load", bins: int = 10,
@@ -98,12 +99,13 @@ def scoreboard(errors: DataFrame, by: Sequence[str] = BY, bins: int = 10) -> Dat
     rows = _scored(errors)
     probs = sorted({i / bins for i in range(bins + 1)} | {0.9})
     peak = probs.index(0.9)
-    table = quantiles(rows, by, "true_load", probs, "_q")
     edges = F.array(*[F.col("_q")[probs.index(i / bins)] for i in range(bins + 1)])
+    table = quantiles(rows, by, "true_load", probs, "_q").select(
+        *by, inner_edges(edges).alias("_edges"), F.col("_q")[peak].alias("_peak"))
     a = ape(F.col("true_load"), F.col("pred"))
     e = F.col("pred") - F.col("true_load")
-    is_peak = F.col("true_load") >= F.col("_q")[peak]
-    per_bin = (rows.join(table, by).withColumn("bin", bin_index(F.col("true_load"), edges))
+    is_peak = F.col("true_load") >= F.col("_peak")
+    per_bin = (rows.join(table, by).withColumn("bin", bin_index("true_load", "_edges", bins))
                .groupBy(*by, "bin").agg(
                    F.count(e).alias("_n"), F.sum(a).alias("_a"), F.sum(F.abs(e)).alias("_ae"),
                    F.sum(e * e).alias("_se"), F.sum(e).alias("_e"),

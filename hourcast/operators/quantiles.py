@@ -32,32 +32,23 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str | Column, probs: Sequen
              .withColumn("_start", F.coalesce(F.sum("_cn").over(before), F.lit(0)))
              .withColumn("_total", F.sum("_cn").over(W.partitionBy(*by))))
 
-    def wanted(p: float) -> tuple[Column, Column, Column]:
-        h = F.lit(float(p)) * (F.col("_total") - 1)
-        return h, F.floor(h), F.ceil(h)
-
-    def holds(rank: Column, start: Column, n: Column) -> Column:
-        return (rank >= start) & (rank < start + n)
-
-    needed = F.lit(False)
-    for p in probs:
-        _, lo, hi = wanted(p)
-        needed = needed | holds(lo, F.col("_start"), F.col("_cn")) | holds(hi, F.col("_start"), F.col("_cn"))
+    # Ranks are written as SQL text: a dozen probabilities would be hundreds of Column calls.
+    lo = [f"floor({float(p)!r}D * (_total - 1))" for p in probs]
+    hi = [f"ceil({float(p)!r}D * (_total - 1))" for p in probs]
+    needed = " OR ".join(f"({k} >= _start AND {k} < _start + _cn)" for k in lo + hi)
     inner = W.partitionBy(*by, "_cell").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
     ranked = (counts.join(cells.where(needed).drop("_cn"), by + ["_cell"])
               .withColumn("_from", F.col("_start") + F.sum("_n").over(inner) - F.col("_n")))
-    picks = []
-    for i, p in enumerate(probs):
-        _, lo, hi = wanted(p)
-        here = (F.col("_from"), F.col("_n"))
-        picks += [F.max(F.when(holds(lo, *here), F.col("_x"))).alias(f"_lo{i}"),
-                  F.max(F.when(holds(hi, *here), F.col("_x"))).alias(f"_hi{i}")]
-    picked = ranked.groupBy(*by).agg(F.max("_total").alias("_total"), *picks)
-    values = []
-    for i, p in enumerate(probs):
-        h, lo, _ = wanted(p)
-        values.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (h - lo))
-    return picked.select(*by, F.array(*values).alias(out))
+
+    def at(rank: str, name: str) -> Column:
+        return F.expr(f"max(CASE WHEN {rank} >= _from AND {rank} < _from + _n THEN _x END) AS {name}")
+
+    picked = ranked.groupBy(*by).agg(
+        F.max("_total").alias("_total"), *[at(k, f"_lo{i}") for i, k in enumerate(lo)],
+        *[at(k, f"_hi{i}") for i, k in enumerate(hi)])
+    values = [f"_lo{i} + (_hi{i} - _lo{i}) * ({float(p)!r}D * (_total - 1) - {k})"
+              for i, (p, k) in enumerate(zip(probs, lo))]
+    return picked.select(*by, F.expr(f"array({', '.join(values)})").alias(out))
 
 
 def group_ranks(df: DataFrame, by: Sequence[str], col: str, ties: Sequence[str],
@@ -75,8 +66,13 @@ def group_ranks(df: DataFrame, by: Sequence[str], col: str, ties: Sequence[str],
             .drop("_cell", "_start"))
 
 
-def bin_index(x: Column, edges: Column) -> Column:
-    """0-based right-closed bin of x: the lowest edge belongs to bin 0, equal edges are merged."""
+def inner_edges(edges: Column) -> Column:
+    """Bin borders between the lowest and the highest edge, equal ones merged."""
     unique = F.array_distinct(edges)
-    inner = F.slice(unique, 2, F.greatest(F.size(unique) - 2, F.lit(0)))
-    return F.size(F.filter(inner, lambda e: e < x))
+    return F.slice(unique, 2, F.greatest(F.size(unique) - 2, F.lit(0)))
+
+
+def bin_index(x: str, borders: str, bins: int) -> Column:
+    """0-based right-closed bin of column ``x`` among at most ``bins - 1`` inner borders."""
+    above = [f"CAST(coalesce({x} > get({borders}, {i}), false) AS INT)" for i in range(bins - 1)]
+    return F.expr(" + ".join(above))

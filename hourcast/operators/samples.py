@@ -126,19 +126,27 @@ def normalise_24(rows: Column) -> Column:
         total = F.aggregate(at(h), F.lit(0.0), lambda acc, r: acc + r["v"])
         return F.try_divide(total, F.size(at(h)))
 
-    seen = F.transform(hours, lambda h: F.get(F.transform(at(h), lambda r: r["v"]), F.size(at(h)) - 1))
+    def last_at(h: Column) -> Column:
+        return F.get(F.transform(at(h), lambda r: r["v"]), F.size(at(h)) - 1)
 
-    def bridged(v: Column, i: Column) -> Column:
-        known = F.filter(hours, lambda j: F.get(seen, j).isNotNull())
+    def let(value: Column, body) -> Column:
+        """Evaluate ``value`` once and hand it to ``body``."""
+        return F.get(F.transform(F.array(value), body), 0)
+
+    def bridged(seen: Column, known: Column, v: Column, i: Column) -> Column:
         left = F.array_max(F.filter(known, lambda j: j < i))
         right = F.array_min(F.filter(known, lambda j: j > i))
         a, b = F.get(seen, left), F.get(seen, right)
         return F.coalesce(v, a + (b - a) * (i - left) / (right - left), a, b)
 
+    def bridge(seen: Column) -> Column:
+        known = F.filter(hours, lambda j: F.get(seen, j).isNotNull())
+        return let(known, lambda k: F.transform(seen, lambda v, i: bridged(seen, k, v, i)))
+
     n = F.size(rows)
     return (F.when(n == 24, F.transform(rows, lambda r: r["v"]))
             .when((n == 25) & F.forall(hours, lambda h: F.size(at(h)) > 0), F.transform(hours, mean_at))
-            .when(n == 23, F.transform(seen, bridged)))
+            .when(n == 23, let(F.transform(hours, last_at), bridge)))
 
 
 def _day_rows(value: str) -> Column:
