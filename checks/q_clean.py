@@ -271,9 +271,9 @@ def cal_holiday(spark, d):
 
 @query("cal_columns", "WITH " + HOURLY + f""",
 fl AS (SELECT zone, MIN(lt) AS first_lt FROM hourly GROUP BY 1)
-SELECT zone, {TS}, hr AS hour, month(lt) AS month, ROUND(sin(2 * pi() * hr / 24), 6) AS hour_sin,
-  ROUND(cos(2 * pi() * hr / 24), 6) AS hour_cos, ROUND(sin(2 * pi() * month(lt) / 12), 6) AS month_sin,
-  ROUND(cos(2 * pi() * month(lt) / 12), 6) AS month_cos, isodow(lt) - 1 AS dayofweek,
+SELECT zone, {TS}, hr AS hour, month(lt) AS month, ROUND(sin(2 * pi() * hr / 24), 6) + 0.0 AS hour_sin,
+  ROUND(cos(2 * pi() * hr / 24), 6) + 0.0 AS hour_cos, ROUND(sin(2 * pi() * month(lt) / 12), 6) + 0.0 AS month_sin,
+  ROUND(cos(2 * pi() * month(lt) / 12), 6) + 0.0 AS month_cos, isodow(lt) - 1 AS dayofweek,
   CAST(isodow(lt) >= 6 AS INTEGER) AS is_weekend,
   CAST(ld IN {HOLIDAYS} AND CAST(ld AS TIMESTAMP) >= first_lt AS INTEGER) AS is_holiday, dayofyear(lt) AS doy
 FROM hourly JOIN fl USING (zone)""")
@@ -285,8 +285,8 @@ def cal_columns(spark, d):
 
 
 @query("cal_weekly_cycle", """
-SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, ROUND(sin(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS dow_sin,
-  ROUND(cos(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) AS dow_cos,
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, ROUND(sin(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) + 0.0 AS dow_sin,
+  ROUND(cos(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) + 0.0 AS dow_cos,
   CASE WHEN month(o_orderdate) IN (7, 8) THEN 'summer' WHEN month(o_orderdate) IN (6, 9) THEN 'upper_shoulder'
        WHEN month(o_orderdate) IN (12, 1, 2) THEN 'winter' ELSE 'shoulder' END AS season, COUNT(*) AS n
 FROM orders GROUP BY ALL""")
