@@ -11,6 +11,7 @@ from .metrics import BY
 from .quantiles import group_ranks
 from .regimes import season_of
 from .rolling import rolling_time_mean
+from .samples import channel_mean
 
 SCALARS = {
     "calendar": ["tmrw_month_sin", "tmrw_month_cos", "tmrw_dow_sin", "tmrw_dow_cos",
@@ -65,9 +66,7 @@ def sum_importance(per_model: DataFrame) -> DataFrame:
 
 def feature_values(samples: DataFrame, seq_cols: Sequence[str]) -> DataFrame:
     """(zone, target_day, name, value): window mean per sequence column, raw calendar scalars."""
-    n = F.size("seq")
-    means = [F.struct(F.lit(c.lower()).alias("name"),
-                      (F.aggregate("seq", F.lit(0.0), lambda a, r, j=j: a + r[j]) / n).alias("value"))
+    means = [F.struct(F.lit(c.lower()).alias("name"), channel_mean(j).alias("value"))
              for j, c in enumerate(seq_cols)]
     scalars = [F.struct(F.lit(c).alias("name"), F.col("calendar")[i].alias("value"))
                for i, c in enumerate(SCALARS["calendar"])]

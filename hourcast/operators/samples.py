@@ -109,6 +109,11 @@ def flat_vector(samples: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), n - 1), lambda j: F.transform("seq", lambda r: r[j]))))
 
 
+def channel_mean(j: int) -> Column:
+    """Mean of one column of ``seq`` over the window."""
+    return F.aggregate("seq", F.lit(0.0), lambda acc, row: acc + row[j]) / F.size("seq")
+
+
 # ---- target day ----------------------------------------------------------------------------
 
 def normalise_24(rows: Column) -> Column:

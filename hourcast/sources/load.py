@@ -26,9 +26,9 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return raw.withColumns({"file": F.col("_metadata.file_path"), "file_row": place})
 
 
-def year_range(scan: DataFrame) -> DataFrame:
-    """(first_year, last_year) from the file names ``..._<year>.csv``."""
-    year = F.regexp_extract("file", r"(\d{4})\.csv$", 1)
+def year_range(scan: DataFrame, pattern: str = r"(\d{4})\.csv$") -> DataFrame:
+    """(first_year, last_year) from file names ``..._<year>.csv``, or another path pattern."""
+    year = F.regexp_extract("file", pattern, 1)
     return scan.where(year != "").agg(F.min(year.cast("int")).alias("first_year"),
                                       F.max(year.cast("int")).alias("last_year"))
 

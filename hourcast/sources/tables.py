@@ -5,6 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import scratch_dir
+
 
 def years_to_refresh(update: Sequence[int], current: int, start: int, end: int,
                      skip_existing: bool = True) -> list[int]:
@@ -29,6 +31,17 @@ def write_table(df: DataFrame, path: str, partition: Sequence[str] = (), fmt: st
     writer.format(fmt).option("header", "true").save(path)
 
 
+def stage(df: DataFrame, label: str, partition: Sequence[str] = ()) -> DataFrame:
+    """Cut a plan: write it once under the shared checkpoint folder and read it back.
+
+    A lost executor then costs a re-read, not a re-computation, and filters on the partition
+    columns and columns not selected are pruned by the scan.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    write_table(df, path, partition)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
