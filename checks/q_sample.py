@@ -6,7 +6,6 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from hourcast.operators import samples as S
-from hourcast.operators.rolling import daily_temperature
 from hourcast.operators.scaling import fit_static_scaler, scale_statics
 from hourcast.plans.training import tensor
 from hourcast.sources import forecasts as FC, tables as T, weather as WX
@@ -282,8 +281,13 @@ def fc_features(spark, d):
 
 # ---- whole samples -------------------------------------------------------------------------
 
+def cleaned(spark, d):
+    """The cleaned hourly table, written once like any ingest result."""
+    return T.stage(calendar_hourly(spark, d), "cleaned")
+
+
 def samples_of(spark, d, cfg=CFG):
-    return S.build_samples(calendar_hourly(spark, d), FC.clean_forecast(forecast(spark, d)), cfg)
+    return S.build_samples(cleaned(spark, d), T.stage(FC.clean_forecast(forecast(spark, d)), "forecast"), cfg)
 
 
 @query("sample_full", "WITH " + FORECAST + index_sql() + TARGETS + CALENDAR + MACRO + REFS.format(thr=75) + ARRAYS
@@ -310,7 +314,7 @@ x AS (SELECT i.zone, i.target_day, CASE WHEN i.status <> 'ok' THEN i.status WHEN
   LEFT JOIN (SELECT DISTINCT zone, d FROM tgt) t ON t.zone = i.zone AND t.d = i.target_day)
 SELECT zone, status, COUNT(*) AS n FROM x GROUP BY ALL""")
 def sample_statuses(spark, d):
-    h = calendar_hourly(spark, d)
+    h = cleaned(spark, d)
     refs = S.fit_thermal_refs(h, CFG.test_frac, position="clock")
     out = S.assemble(h, FC.clean_forecast(forecast(spark, d)), CFG, refs)
     return out.groupBy("zone", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -330,10 +334,10 @@ def sample_sequence_scaled(spark, d):
     """The window standardised by the train rows; statics ride along once per sample."""
     from hourcast.operators.rolling import add_thermal_sequence
     from hourcast.operators.scaling import fit_scaler
-    h = calendar_hourly(spark, d)
+    h = cleaned(spark, d)
     rows = S.mark_train(add_thermal_sequence(h, position="clock"), 0.2, "clock")
     scaler = fit_scaler(rows, list(CFG.seq_cols), F.col("is_train"))
-    out = tensor(samples_of(spark, d), scaler, list(CFG.seq_cols), 0.2)
+    out = tensor(S.build_samples(h, T.stage(FC.clean_forecast(forecast(spark, d)), "forecast"), CFG), scaler, list(CFG.seq_cols), 0.2)
     long = out.select("zone", "target_day", F.posexplode("seq").alias("lag", "r"))
     return long.select("zone", day(), "lag", *[F.round(F.col("r")[i], 4).alias(f"c{i}") for i in range(3)])
 
@@ -346,19 +350,20 @@ def scale_statics_query(spark, d):
     return exploded(out, "statics", 4)
 
 
-@query("sample_causality", "WITH " + HOURLY + index_sql() + "SELECT zone, status AS issue, COUNT(*) AS n FROM idx WHERE false GROUP BY ALL")
+@query("sample_causality", "WITH " + HOURLY + index_sql() + """,
+l AS (SELECT zone, MAX(ld) AS m FROM hourly GROUP BY 1)
+SELECT i.zone, COUNT(*) AS n_compared, CAST(0 AS BIGINT) AS n_moved FROM idx i JOIN l USING (zone) GROUP BY 1""")
 def sample_causality(spark, d):
-    """Rows at or after each cutoff are disturbed; no feature of that sample may move."""
+    """Rows from the last cutoff on are disturbed; no sample cut off before them may move."""
     from hourcast.operators.diagnostics import parity
-    h = calendar_hourly(spark, d)
+    h = cleaned(spark, d)
     refs = S.fit_thermal_refs(h, CFG.test_frac, position="clock")
-    last = daily_temperature(h).groupBy("zone").agg(F.max("local_date").alias("_l"))
+    last = h.groupBy("zone").agg(F.max(F.to_date("ts_local")).alias("_l"))
     hit = F.to_date("ts_local") >= F.date_sub("_l", 1)
     shaken = h.join(last, "zone").withColumns({c: F.when(hit, F.col(c) + 50).otherwise(F.col(c))
                                                for c in ("load_est", "Temp_F")}).drop("_l")
-    a, b = (S.assemble(x, None, CFG, refs).join(last, "zone").where(F.col("target_day") <= F.col("_l"))
-            .where("status = 'ok'") for x in (h, shaken))
-    return parity(a, b, ["zone", "target_day"], ["seq", "macro", "thermal"], 1e-9).groupBy("zone", "issue").agg(
-        F.count(F.lit(1)).alias("n"))
-
-
+    a, b = (S.assemble(x, None, CFG, refs).where("status IN ('ok', 'bad_target')") for x in (h, T.stage(shaken, "shaken")))
+    moved = parity(a, b, ["zone", "target_day"], ["seq", "macro", "thermal"], 1e-9)
+    n = a.groupBy("zone").agg(F.count(F.lit(1)).alias("n_compared"))
+    m = moved.groupBy("zone").agg(F.count(F.lit(1)).alias("n_moved"))
+    return n.join(m, "zone", "left").select("zone", "n_compared", F.coalesce("n_moved", F.lit(0)).cast("bigint").alias("n_moved"))

@@ -21,9 +21,10 @@ def baseline_aggs(lookback: int, mode: str = "hourly", positional: bool = False,
     if mode == "scalar":
         mean = F.when(F.count(F.when(x.isNull(), 1)) == 0, F.avg(x))
         return F.array_repeat(mean, 24)
-    slot = F.pmod(lookback - F.col("off"), F.lit(24)) if positional else F.hour("ts_local")
-    at = [slot == h for h in range(24)]
-    return F.array(*[F.when(F.count(F.when(c & x.isNull(), 1)) == 0, F.avg(F.when(c, x))) for c in at])
+    slot = f"pmod({lookback} - off, 24)" if positional else "hour(ts_local)"
+    means = [f"CASE WHEN count_if({slot} = {h} AND {col} IS NULL) = 0 THEN avg(CASE WHEN {slot} = {h} THEN {col} END) END"
+             for h in range(24)]
+    return F.expr(f"array({', '.join(means)})")
 
 
 def baseline(df: DataFrame, index: DataFrame, lookback: int = 168, mode: str = "hourly",

@@ -350,10 +350,11 @@ def missing_forecast_cells(fc: DataFrame) -> DataFrame:
 
 
 def _reference_aggs(lookback: int, base: float) -> dict[str, Column]:
-    t, hour = F.col("Temp_F"), F.hour("ts_local")
-    inside = F.col("off") <= lookback
-    mean = F.avg(F.when(inside, t))
-    by_hour = F.array(*[F.coalesce(F.avg(F.when(inside & (hour == h), t)), mean) for h in range(24)])
+    t, inside = F.col("Temp_F"), F.col("off") <= lookback
+    mean = f"avg(CASE WHEN off <= {lookback} THEN Temp_F END)"
+    slots = [f"coalesce(avg(CASE WHEN off <= {lookback} AND hour(ts_local) = {h} THEN Temp_F END), {mean})"
+             for h in range(24)]
+    by_hour = F.expr(f"array({', '.join(slots)})")
     cdd = F.sum(F.when(inside, F.greatest(F.lit(0.0), t - base)))
     hdd = F.sum(F.when(inside, F.greatest(F.lit(0.0), base - t)))
     last = F.col("off") <= 24

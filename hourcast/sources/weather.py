@@ -23,8 +23,10 @@ def _local(text: Column) -> Column:
 def observed_weather(raw: DataFrame, body: str = "value") -> DataFrame:
     """(zone, time, 11 canonical columns): one row per hour of each block."""
     b = _parsed(raw, HOURLY_JSON, body)
+    # A variable the block does not carry is an empty array, which zips to nulls.
     rows = F.arrays_zip(F.col("_time").alias("time"),
-                        *[F.col(f"_b.hourly.{v}").alias(c) for v, c in WEATHER_RENAME.items()])
+                        *[F.coalesce(F.col(f"_b.hourly.{v}"), F.array().cast("array<double>")).alias(c)
+                          for v, c in WEATHER_RENAME.items()])
     return (b.select(F.col("_b.zone").alias("zone"), F.explode(rows).alias("_e"))
             .select("zone", _local(F.col("_e.time")).alias("time"),
                     *[F.col(f"_e.{c}").alias(c) for c in WEATHER_COLS]))
@@ -34,7 +36,8 @@ def forecast_wide(raw: DataFrame, body: str = "value") -> DataFrame:
     """(zone, time, ``{var}_previous_day{n}`` as text) rows of forecast blocks."""
     b = _parsed(raw, FORECAST_JSON, body)
     names = [f"{v}_previous_day{d}" for d in LEAD_DAYS for v in FORECAST_RENAME]
-    rows = F.arrays_zip(F.col("_time").alias("time"), *[F.col(f"_b.hourly.{n}").alias(n) for n in names])
+    rows = F.arrays_zip(F.col("_time").alias("time"), *[
+        F.coalesce(F.col(f"_b.hourly.{n}"), F.array().cast("array<string>")).alias(n) for n in names])
     return (b.select(F.col("_b.zone").alias("zone"), F.explode(rows).alias("_e"))
             .select("zone", _local(F.col("_e.time")).alias("time"), *[F.col(f"_e.{n}").alias(n) for n in names]))
 
