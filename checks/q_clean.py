@@ -10,7 +10,7 @@ from hourcast.operators.regimes import season_of
 from hourcast.operators.samples import sample_index
 from hourcast.sources.load import clean_preliminary
 
-from .registry import query
+from .registry import query, rnd
 from .views import (CFG, HOURLY, SPARSE, TAIL, TZ, hourly, hourly_sparse, r6, table, tail_unlabelled,
                     ts_text)
 
@@ -45,7 +45,7 @@ def spiked(df):
 SELECT zone, {TS}, COALESCE(ROUND(x, 6), -1.0) AS load_est FROM cut""")
 def clean_upper_outliers(spark, d):
     out = Q.null_upper_outliers(spiked(hourly(spark, d)), "load_est")
-    return keyed(out, F.coalesce(F.round("load_est", 6), F.lit(-1.0)).alias("load_est"))
+    return keyed(out, F.coalesce(rnd("load_est", 6), F.lit(-1.0)).alias("load_est"))
 
 
 LINE = """,
@@ -82,7 +82,7 @@ SELECT zone, {TS}, CAST(load IS NOT NULL AS INTEGER) AS has_label,
 def clean_labels(spark, d):
     """Zones without an impossible value keep their interior nulls; tails stay unlabelled."""
     out = Q.repair_impossible(Q.flag_labels(tail_unlabelled(spark, d)), position="clock")
-    return keyed(out, "has_label", F.coalesce(F.round("load", 6), F.lit(-1.0)).alias("load"))
+    return keyed(out, "has_label", F.coalesce(rnd("load", 6), F.lit(-1.0)).alias("load"))
 
 
 VALID = """,
@@ -149,7 +149,7 @@ SELECT zone, day, first_key, ROUND(first_price, 6) AS first_price FROM (
 def clean_keep_first(spark, d):
     o = table(spark, d, "orders").select(
         F.col("o_orderpriority").alias("zone"), F.to_date("o_orderdate").cast("string").alias("day"),
-        F.col("o_orderkey").alias("first_key"), F.round("o_totalprice", 6).alias("first_price"))
+        F.col("o_orderkey").alias("first_key"), rnd("o_totalprice", 6).alias("first_price"))
     return keep_first(o, ["zone", "day"], ["first_key"])
 
 
@@ -185,7 +185,7 @@ SELECT zone, {TS}, strftime(timezone('{TZ}', timezone('UTC', ts_utc)), '%Y-%m-%d
 def align_join_loads(spark, d):
     out = A.join_loads(*_loads(spark, d), TZ)
     return keyed(out, ts_text("ts_local").alias("ts_local"), *[
-        F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("load", "load_est")])
+        F.coalesce(rnd(c, 6), F.lit(-1.0)).alias(c) for c in ("load", "load_est")])
 
 
 WALL = """,
@@ -241,7 +241,7 @@ SELECT zone, {TS}, COALESCE(ROUND(load, 6), -1.0) AS load, COALESCE(ROUND(load_e
 def align_full(spark, d):
     """Loads outer-joined, local weather brought to UTC and left-joined, gaps filled."""
     out = A.align(*_loads(spark, d), _wall(spark, d).drop("h"), TZ)
-    return keyed(out, *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("load", "load_est")],
+    return keyed(out, *[F.coalesce(rnd(c, 6), F.lit(-1.0)).alias(c) for c in ("load", "load_est")],
                  r6("Temp_F", "temp"))
 
 
@@ -293,8 +293,8 @@ FROM orders GROUP BY ALL""")
 def cal_weekly_cycle(spark, d):
     o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
     s, c = cyclic(F.weekday("day"), 7)
-    return o.groupBy(F.col("day").cast("string").alias("day"), F.round(s, 6).alias("dow_sin"),
-                     F.round(c, 6).alias("dow_cos"), season_of(F.month("day")).alias("season")).agg(
+    return o.groupBy(F.col("day").cast("string").alias("day"), rnd(s, 6).alias("dow_sin"),
+                     rnd(c, 6).alias("dow_cos"), season_of(F.month("day")).alias("season")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -335,7 +335,7 @@ SELECT zone, {TS}, strftime(timezone('{TZ}', timezone('UTC', ts_utc)), '%Y-%m-%d
   COALESCE(ROUND(load, 6), -1.0) AS load FROM al""")
 def tz_extend_future(spark, d):
     out = A.extend_future(hourly(spark, d), 2, TZ)
-    return keyed(out, ts_text("ts_local").alias("ts_local"), F.coalesce(F.round("load", 6), F.lit(-1.0)).alias("load"))
+    return keyed(out, ts_text("ts_local").alias("ts_local"), F.coalesce(rnd("load", 6), F.lit(-1.0)).alias("load"))
 
 
 @query("text_truthy", "WITH " + HOURLY + """

@@ -7,7 +7,7 @@ from hourcast.operators import diagnostics as D, samples as S
 from hourcast.sources.forecasts import clean_forecast
 
 from .q_sample import CALENDAR, DAY, day, usable
-from .registry import query
+from .registry import query, rnd
 from .views import (ERRORS, FORECAST, HOURLY, TARGETS, calendar_hourly, errors, forecast, hourly, index_sql,
                     r6, ts_text)
 
@@ -38,7 +38,7 @@ def _values(spark, d):
 def tidy(df, digits=4):
     cols = [c for c in ("r", "slope", "intercept") if c in df.columns]
     return df.select(*[c for c in df.columns if c not in cols],
-                     *[F.coalesce(F.round(c, digits), F.lit(-9.0)).alias(c) for c in cols])
+                     *[F.coalesce(rnd(c, digits), F.lit(-9.0)).alias(c) for c in cols])
 
 
 _REL = """SELECT {by}, name, COALESCE(ROUND(corr({x}, {y}), 4) + 0.0, -9.0) AS r,
@@ -50,10 +50,10 @@ def _windowed(values):
     return values.where(F.col("name").isin("load_est", "temp_f"))
 
 
-@query("diag_feature_values", "WITH " + VALUES + f"SELECT zone, {DAY}, name, ROUND(value + 1e-8, 5) + 0.0 AS value FROM fv JOIN tv USING (zone, target_day)")
+@query("diag_feature_values", "WITH " + VALUES + f"SELECT zone, {DAY}, name, ROUND(value, 5) + 0.0 AS value FROM fv JOIN tv USING (zone, target_day)")
 def diag_feature_values(spark, d):
     v, _ = _values(spark, d)
-    return v.select("zone", day(), "name", F.round(F.col("value") + 1e-8, 5).alias("value"))
+    return v.select("zone", day(), "name", rnd("value", 5).alias("value"))
 
 
 @query("diag_relations", "WITH " + VALUES + _REL.format(by="zone", x="value", y="load"))
@@ -107,7 +107,7 @@ SELECT i.zone, {DAY}, ROUND(load, 5) AS load FROM idx i JOIN tv USING (zone, tar
 def diag_common_keys(spark, d):
     h = hourly(spark, d)
     y = D.target_value(S.day_targets(h, "load", "clock").where("y IS NOT NULL"))
-    return D.common_keys(usable(h), y).select("zone", day(), F.round("load", 5).alias("load"))
+    return D.common_keys(usable(h), y).select("zone", day(), rnd("load", 5).alias("load"))
 
 
 @query("diag_tail_hours", "WITH " + ERRORS + """,
@@ -122,7 +122,7 @@ FROM t JOIN a ON a.zone = t.zone AND a.hour = t.hour GROUP BY t.zone, model, tai
 def diag_tail_hours(spark, d):
     t = D.tail_error_hours(errors(spark, d))
     return t.select("zone", "model", "tail", "hour", F.col("n").cast("bigint").alias("n"), r6("share"), r6("base_share"),
-                    F.round("lift", 5).alias("lift"))
+                    rnd("lift", 5).alias("lift"))
 
 
 @query("diag_estimate_quality", "WITH " + HOURLY + """
@@ -135,12 +135,12 @@ def diag_estimate_quality(spark, d):
 
 
 @query("diag_estimate_trend", "WITH " + HOURLY + """
-SELECT zone, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, ROUND(AVG(load_est - load) OVER w + 1e-8, 5) + 0.0 AS trend,
-  ROUND(AVG(ABS(load_est - load)) OVER w + 1e-8, 5) AS abs_trend FROM hourly
+SELECT zone, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, ROUND(AVG(load_est - load) OVER w, 5) + 0.0 AS trend,
+  ROUND(AVG(ABS(load_est - load)) OVER w, 5) AS abs_trend FROM hourly
 WINDOW w AS (PARTITION BY zone ORDER BY lt RANGE BETWEEN INTERVAL '604799999999 microseconds' PRECEDING AND CURRENT ROW)""")
 def diag_estimate_trend(spark, d):
     t = D.estimate_trend(hourly(spark, d))
-    return t.select("zone", ts_text("ts_utc").alias("ts_utc"), *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("trend", "abs_trend")])
+    return t.select("zone", ts_text("ts_utc").alias("ts_utc"), *[rnd(c, 5).alias(c) for c in ("trend", "abs_trend")])
 
 
 @query("diag_month_stats", """
@@ -151,16 +151,16 @@ def diag_month_stats(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("zone"), F.col("o_orderdate").alias("ts_local"),
                                          F.col("o_totalprice").alias("load"))
     m = D.month_stats(o)
-    return m.select("zone", "month", F.round("mean", 2).alias("mean"), F.round(F.col("var") / 1e6, 3).alias("var"),
-                    F.round("std", 2).alias("std"), "count")
+    return m.select("zone", "month", rnd("mean", 2).alias("mean"), rnd(F.col("var") / 1e6, 3).alias("var"),
+                    rnd("std", 2).alias("std"), "count")
 
 
 for _stat, _fn in (("mean", "AVG"), ("var", "var_samp")):
     @query(f"diag_month_hour_{_stat}", "WITH " + HOURLY + "SELECT zone, month(lt) AS month, " + ", ".join(
-        f"COALESCE(ROUND({_fn}(CASE WHEN hr = {h} THEN load END) + 1e-7, 4), -1.0) AS h{h}" for h in range(24)) + " FROM hourly GROUP BY 1, 2")
+        f"COALESCE(ROUND({_fn}(CASE WHEN hr = {h} THEN load END), 4), -1.0) AS h{h}" for h in range(24)) + " FROM hourly GROUP BY 1, 2")
     def diag_month_hour(spark, d, stat=_stat):
         t = D.month_hour_stats(hourly(spark, d), stat=stat)
-        return t.select("zone", "month", *[F.coalesce(F.round(F.col(f"h{h}") + 1e-7, 4), F.lit(-1.0)).alias(f"h{h}") for h in range(24)])
+        return t.select("zone", "month", *[F.coalesce(rnd(f"h{h}", 4), F.lit(-1.0)).alias(f"h{h}") for h in range(24)])
 
 
 @query("diag_forecast_skill", "WITH " + FORECAST + """,
@@ -213,25 +213,25 @@ FROM parts GROUP BY 1""")
 def diag_importance_family(spark, d):
     """A static name that merely looks like a lag stays whole."""
     f = D.importance_by_family(importance(spark, d), SEQ)
-    return f.select("family", F.round("importance", 4).alias("importance"), "n_cols", F.round("pct", 4).alias("pct"))
+    return f.select("family", rnd("importance", 4).alias("importance"), "n_cols", rnd("pct", 4).alias("pct"))
 
 
 @query("diag_importance_static", "WITH " + IMP + """
 SELECT name, ROUND(importance, 4) AS importance, ROUND(100 * importance / (SELECT SUM(importance) FROM im), 4) AS pct FROM parts WHERE lag IS NULL""")
 def diag_importance_static(spark, d):
     f = D.static_importance(importance(spark, d), SEQ)
-    return f.select("name", F.round("importance", 4).alias("importance"), F.round("pct", 4).alias("pct"))
+    return f.select("name", rnd("importance", 4).alias("importance"), rnd("pct", 4).alias("pct"))
 
 
 @query("diag_importance_lag", "WITH " + IMP + "SELECT lag, ROUND(SUM(importance), 4) AS importance FROM parts WHERE lag IS NOT NULL GROUP BY 1")
 def diag_importance_lag(spark, d):
     f = D.importance_by_lag(importance(spark, d), SEQ)
-    return f.select("lag", F.round("importance", 4).alias("importance"))
+    return f.select("lag", rnd("importance", 4).alias("importance"))
 
 
 @query("diag_importance_top", "WITH " + IMP + "SELECT name, ROUND(importance, 4) AS importance FROM im ORDER BY im.importance DESC, name LIMIT 10")
 def diag_importance_top(spark, d):
     f = D.top_columns(importance(spark, d), 10)
-    return f.select("name", F.round("importance", 4).alias("importance"))
+    return f.select("name", rnd("importance", 4).alias("importance"))
 
 

@@ -11,7 +11,7 @@ from hourcast.plans.training import fit_model, predict
 from hourcast.sources.tables import stage
 
 from .q_sample import DAY, day, exploded, samples_of
-from .registry import query
+from .registry import query, rnd
 from .views import CFG, ERRORS, HOURLY, errors, hourly, index_sql, r6
 
 SPLIT = """,
@@ -87,7 +87,7 @@ FROM lab WHERE split = 'train' AND ok = 1 GROUP BY 1""")
 def residual_scaler(spark, d):
     s = SP.split_samples(_naive(spark, d), "tail", 0.3, embargo=3)
     out = B.fit_residual_scaler(SP.fit_set(B.residual_target(s)))
-    return out.select("zone", "feature", F.round("mean", 5).alias("mean"), F.round("scale", 5).alias("scale"))
+    return out.select("zone", "feature", rnd("mean", 5).alias("mean"), rnd("scale", 5).alias("scale"))
 
 
 @query("residual_add_back", "WITH " + ERRORS + """
@@ -151,7 +151,7 @@ def ml_linear_hourly(spark, d):
     rows, routes = _rows(spark, d), ML.hour_routes()
     models = ML.fit_routes(rows, ["base"], routes, _plain)
     out = ML.predict_routes(rows.where("split = 'test'"), models, routes, "linear")
-    return out.select("zone", day(), "hour", F.round("pred", 3).alias("pred"))
+    return out.select("zone", day(), "hour", rnd("pred", 3).alias("pred"))
 
 
 @query("ml_residual_hourly", "WITH " + _ols("(true_load - lab_pred)", "hour").replace("lab_pred", "pred") + """
@@ -165,7 +165,7 @@ def ml_residual_hourly(spark, d):
     pred = ML.gather(ML.predict_routes(test, models, routes, "residual"), test, residual=True)
     e = M.error_rows(pred)
     return e.groupBy("zone", F.col("date").cast("string").alias("target_day")).agg(
-        F.round(F.avg("abs_error"), 3).alias("mae"))
+        rnd(F.avg("abs_error"), 3).alias("mae"))
 
 
 @query("ml_routed_experts", "WITH " + _ols("true_load", "expert") + """
@@ -176,7 +176,7 @@ def ml_routed_experts(spark, d):
     rows, routes = ML.tag_regime(_rows(spark, d)), ML.regime_routes(spark)
     models = ML.fit_routes(rows, ["base"], routes, _plain)
     out = ML.predict_routes(rows.where("split = 'test'"), models, routes, "routed")
-    return out.select("zone", day(), "hour", "route", F.round("pred", 3).alias("pred"))
+    return out.select("zone", day(), "hour", "route", rnd("pred", 3).alias("pred"))
 
 
 @query("ml_single_expert", "WITH " + _ols("true_load", "expert") + """
@@ -189,7 +189,7 @@ def ml_single_expert(spark, d):
     models = ML.fit_routes(rows, ["base"], routes, _plain)
     out = ML.predict_routes(rows.where("split = 'test'"), models, routes, "single").join(
         rows.select("zone", "target_day", "hour", "y"), ["zone", "target_day", "hour"])
-    return out.groupBy("zone").agg(F.round(F.avg(F.abs(F.col("pred") - F.col("y"))), 3).alias("mae"),
+    return out.groupBy("zone").agg(rnd(F.avg(F.abs(F.col("pred") - F.col("y"))), 3).alias("mae"),
                                    F.count(F.lit(1)).alias("n"))
 
 

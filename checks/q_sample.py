@@ -11,7 +11,7 @@ from hourcast.plans.training import tensor
 from hourcast.sources import forecasts as FC, tables as T, weather as WX
 
 from .q_clean import HOLIDAYS
-from .registry import query
+from .registry import query, rnd
 from .views import (CFG, FORECAST, HOURLY, TARGETS, calendar_hourly, forecast, hourly, index_sql, r6, ts_text)
 
 DAY = "strftime(target_day, '%Y-%m-%d') AS target_day"
@@ -27,7 +27,7 @@ def usable(h, cfg=CFG):
 
 def exploded(df, col, digits=6):
     long = df.select("zone", "target_day", F.posexplode(col).alias("idx", "v"))
-    return long.select("zone", day(), "idx", F.round("v", digits).alias("value"))
+    return long.select("zone", day(), "idx", rnd("v", digits).alias("value"))
 
 
 for _hour in (0, 9, 18):
@@ -149,7 +149,7 @@ SELECT zone, strftime(issue_date, '%Y-%m-%d') AS issue_date, lead_day, strftime(
 def fc_clean(spark, d):
     out = FC.clean_forecast(forecast(spark, d))
     return out.select("zone", day("issue_date"), "lead_day", ts_text("valid_local").alias("valid_local"),
-                      F.coalesce(F.round("Temp_F", 6), F.lit(-99.0)).alias("temp"), "is_complete")
+                      F.coalesce(rnd("Temp_F", 6), F.lit(-99.0)).alias("temp"), "is_complete")
 
 
 @query("fc_coverage", "WITH " + FORECAST + """,
@@ -190,7 +190,7 @@ def fc_reshape(spark, d):
                     F.when(F.col("zone").cast("int") % 5 != 0, cell(2)).alias("temperature_2m_previous_day2"))
     out = WX.reshape_forecast(wide)
     return out.select("zone", day("issue_date"), "lead_day", ts_text("valid_local").alias("valid_local"),
-                      F.coalesce(F.round("Temp_F", 6), F.lit(-99.0)).alias("temp"))
+                      F.coalesce(rnd("Temp_F", 6), F.lit(-99.0)).alias("temp"))
 
 
 @query("fc_sorted_union", "WITH " + FORECAST + """
@@ -339,7 +339,7 @@ def sample_sequence_scaled(spark, d):
     scaler = fit_scaler(rows, list(CFG.seq_cols), F.col("is_train"))
     out = tensor(S.build_samples(h, T.stage(FC.clean_forecast(forecast(spark, d)), "forecast"), CFG), scaler, list(CFG.seq_cols), 0.2)
     long = out.select("zone", "target_day", F.posexplode("seq").alias("lag", "r"))
-    return long.select("zone", day(), "lag", *[F.round(F.col("r")[i], 4).alias(f"c{i}") for i in range(3)])
+    return long.select("zone", day(), "lag", *[rnd(F.col("r")[i], 4).alias(f"c{i}") for i in range(3)])
 
 
 @query("scale_statics", None)

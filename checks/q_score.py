@@ -11,7 +11,7 @@ from hourcast.operators.quality import contiguity_report
 from hourcast.operators.samples import sample_index
 from hourcast.plans.evaluate import naive_scoreboard
 
-from .registry import query
+from .registry import query, rnd
 from .views import CFG, ERRORS, HOURLY, errors, errors_sql, hourly, index_sql, r6, ts_text
 
 WEEK = replace(CFG, lookback=168, history=168)
@@ -185,7 +185,7 @@ k AS (SELECT zone, model, LEAST(CAST(floor((signed_error - lo) / (hi - lo) * 50)
 SELECT zone, model, bin, ROUND(lo + bin * (hi - lo) / 50, 5) AS left_edge, COUNT(*) AS n FROM k GROUP BY zone, model, bin, lo, hi""")
 def score_histogram(spark, d):
     h = M.error_histogram(errors(spark, d))
-    return h.select("zone", "model", "bin", F.round("left_edge", 5).alias("left_edge"), "n")
+    return h.select("zone", "model", "bin", rnd("left_edge", 5).alias("left_edge"), "n")
 
 
 @query("score_cdf", "WITH " + ERRORS + """

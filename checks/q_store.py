@@ -16,7 +16,7 @@ from hourcast.streaming import feeds as FD
 from .q_clean import TS, keyed
 from .q_sample import DAY, cleaned, day
 from .q_score import score_sql
-from .registry import query
+from .registry import query, rnd
 from .views import (CFG, ERRORS, HOURLY, TZ, _decorate, errors, hourly, index_sql, r6, table, ts_text)
 
 # ---- store ---------------------------------------------------------------------------------
@@ -39,7 +39,7 @@ def _stores(spark, d):
 
 
 def _wide(df):
-    return keyed(df, ts_text("ts_local").alias("ts_local"), *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c)
+    return keyed(df, ts_text("ts_local").alias("ts_local"), *[F.coalesce(rnd(c, 6), F.lit(-1.0)).alias(c)
                                                             for c in ("metered", "m1_pred", "m2_pred")])
 
 
@@ -95,12 +95,12 @@ def _long_store(spark, d):
 
 
 @query("store_scoreboard", "WITH " + HOURLY + PREDS + score_sql("e2", "zone, model") + """
-SELECT zone, model, ROUND(mape + 1e-9, 2) AS mape, ROUND(mae + 1e-9, 2) AS mae, ROUND(rmse + 1e-9, 2) AS rmse, ROUND(me - 1e-9, 2) + 0.0 AS me,
-  ROUND(brs + 1e-9, 4) + 0.0 AS brs, n_hours AS hours FROM board JOIN slope USING (zone, model)""")
+SELECT zone, model, ROUND(mape, 6) AS mape, ROUND(mae, 6) AS mae, ROUND(rmse, 6) AS rmse, ROUND(me, 6) AS me,
+  ROUND(brs, 6) AS brs, n_hours AS hours FROM board JOIN slope USING (zone, model)""")
 def store_scoreboard(spark, d):
     preds, actual = _long_store(spark, d)
-    b = M.store_scoreboard(preds, actual.drop("ts_local"))
-    return b.select("zone", "model", "mape", "mae", "rmse", "me", "brs", F.col("hours").cast("bigint").alias("hours"))
+    b = M.store_scoreboard(preds, actual.drop("ts_local"), rounded_scores=False)
+    return b.select("zone", "model", *[r6(c) for c in ("mape", "mae", "rmse", "me", "brs")], F.col("hours").cast("bigint").alias("hours"))
 
 
 @query("store_day_status", "WITH " + HOURLY + """
@@ -127,7 +127,7 @@ SELECT zone, {TS}, ROUND(load_est, 6) AS m1_pred, ROUND(load_est + 2 + h % 7, 6)
 def store_pivot(spark, d):
     preds, actual = _long_store(spark, d)
     out = ST.pivot_store(preds, actual, ["m1", "m2"])
-    return keyed(out, r6("m1_pred"), r6("m2_pred"), F.coalesce(F.round("metered", 6), F.lit(-1.0)).alias("metered"))
+    return keyed(out, r6("m1_pred"), r6("m2_pred"), F.coalesce(rnd("metered", 6), F.lit(-1.0)).alias("metered"))
 
 
 @query("score_by_magnitude", "WITH " + ERRORS + """
@@ -184,7 +184,7 @@ def serving_roll(spark, d):
         return B.baseline_from_samples(samples).withColumn("yhat", F.transform("base", lambda v: v + 0.003))
 
     out = SV.roll(h, h.select("zone", "ts_utc", "load"), None, refs, {"baseline": naive}, cfg=CFG)
-    return keyed(out, "baseline_pred", F.coalesce(F.round("metered", 6), F.lit(-1.0)).alias("metered"))
+    return keyed(out, "baseline_pred", F.coalesce(rnd("metered", 6), F.lit(-1.0)).alias("metered"))
 
 
 @query("serving_parity", "WITH " + HOURLY + index_sql() + """,
@@ -254,14 +254,14 @@ y AS (SELECT g.zone, g.ld, g.slot, COALESCE(s.v, (a.v + b.v) / 2, a.v, b.v) AS v
 ok AS (SELECT ld, MIN(ok) AS ok FROM n GROUP BY 1),
 w AS (SELECT ji.ld, AVG(jh.load_est) AS m FROM ji JOIN jh ON jh.k < ji.cutoff AND jh.k >= ji.cutoff - 48 WHERE jh.zone = 'click' AND ji.cutoff >= 48 GROUP BY 1)
 SELECT strftime(y.ld, '%Y-%m-%d') AS target_day, (CASE zone WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END) * 24 + slot AS idx,
-  ROUND(v, 5) AS value, ok.ok AS is_target_valid, ROUND(w.m + 1e-8, 5) AS first_zone_mean
+  ROUND(v, 5) AS value, ok.ok AS is_target_valid, ROUND(w.m, 5) AS first_zone_mean
 FROM y JOIN ok USING (ld) JOIN w USING (ld)""")
 def joint_samples(spark, d):
     """Five event types as one sample: 5 x 24 targets."""
     rows = add_calendar(by_type(spark, d))
     s = J.joint_samples(rows, TYPES, ["load_est", "Temp_F"], 48)
-    long = s.select("target_day", "is_target_valid", F.round(S.channel_mean(0) + 1e-8, 5).alias("first_zone_mean"), F.posexplode("y").alias("idx", "v"))
-    return long.select(day(), "idx", F.round("v", 5).alias("value"), "is_target_valid", "first_zone_mean")
+    long = s.select("target_day", "is_target_valid", rnd(S.channel_mean(0), 5).alias("first_zone_mean"), F.posexplode("y").alias("idx", "v"))
+    return long.select(day(), "idx", rnd("v", 5).alias("value"), "is_target_valid", "first_zone_mean")
 
 
 @query("joint_evaluation", "WITH " + JOINT.replace("AS is_valid", "AS is_valid") + index_sql() + """,
@@ -288,7 +288,7 @@ def joint_evaluation(spark, d):
     wide = wide.withColumn("yhat", F.transform("y", lambda v: v * 0.9))
     per = J.per_zone_predictions(wide, TYPES)
     back = invert_scaler(per, scaler, "load", ["y", "yhat"])
-    return M.basic_scores(M.error_rows(back)).select("zone", F.round("mae", 4).alias("mae"))
+    return M.basic_scores(M.error_rows(back)).select("zone", rnd("mae", 4).alias("mae"))
 
 
 # ---- streaming -----------------------------------------------------------------------------
@@ -463,7 +463,7 @@ def io_materialize(spark, d):
 SELECT zone, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, ROUND(true_load, 4) AS true_load, ROUND(pred, 4) AS pred FROM errors""")
 def io_csv_sink(spark, d):
     path = scratch_dir(spark, "errors")
-    e = errors(spark, d).select("zone", ts_text("datetime").alias("datetime"), F.round("true_load", 4).alias("true_load"), F.round("pred", 4).alias("pred"))
+    e = errors(spark, d).select("zone", ts_text("datetime").alias("datetime"), rnd("true_load", 4).alias("true_load"), rnd("pred", 4).alias("pred"))
     TB.write_table(e, path, fmt="csv")
     schema = T.StructType([T.StructField("zone", T.StringType()), T.StructField("datetime", T.StringType()),
                            T.StructField("true_load", T.DoubleType()), T.StructField("pred", T.DoubleType())])

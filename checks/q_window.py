@@ -9,7 +9,7 @@ from hourcast.operators.chunks import rank_position
 from hourcast.operators.quantiles import quantiles
 
 from .q_clean import TS, keyed
-from .registry import query
+from .registry import query, rnd
 from .views import (CFG, DAILY, ERRORS, HOURLY, SPARSE, daily, errors, hourly, hourly_sparse, r6, ts_text)
 
 PHYSICS = """,
@@ -67,20 +67,20 @@ def roll_rank_position(spark, d):
 
 @query("roll_time_mean", "WITH " + ERRORS + """
 SELECT zone, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime,
-  ROUND(AVG(signed_error) OVER w + 1e-8, 5) + 0.0 AS trend, ROUND(AVG(abs_error) OVER w + 1e-8, 5) AS abs_trend
+  ROUND(AVG(signed_error) OVER w, 5) + 0.0 AS trend, ROUND(AVG(abs_error) OVER w, 5) AS abs_trend
 FROM errors WINDOW w AS (PARTITION BY zone ORDER BY datetime RANGE BETWEEN INTERVAL '604799999999 microseconds' PRECEDING AND CURRENT ROW)""")
 def roll_time_mean(spark, d):
     e = errors(spark, d).withColumn("at", F.col("datetime").cast("timestamp"))
     out = R.rolling_time_mean(e, {"trend": F.col("signed_error"), "abs_trend": F.col("abs_error")}, 7, "at")
     return out.select("zone", ts_text("datetime").alias("datetime"),
-                      *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("trend", "abs_trend")])
+                      *[rnd(c, 5).alias(c) for c in ("trend", "abs_trend")])
 
 
 @query("roll_group_departure", "WITH " + HOURLY + f"""
 SELECT zone, {TS}, ROUND(load - AVG(load) OVER (PARTITION BY zone, hr), 5) AS departure FROM hourly""")
 def roll_group_departure(spark, d):
     h = hourly(spark, d).withColumn("hour", F.hour("ts_local"))
-    return keyed(R.group_departure(h, "load", ["zone", "hour"]), F.round("departure", 5).alias("departure"))
+    return keyed(R.group_departure(h, "load", ["zone", "hour"]), rnd("departure", 5).alias("departure"))
 
 
 @query("roll_daily_temperature", "WITH " + HOURLY + """
@@ -169,8 +169,8 @@ def _scaler(h):
 SELECT zone, 'load_est' AS feature, ROUND(ml, 5) AS mean, ROUND(sl, 5) AS scale FROM sc
 UNION ALL SELECT zone, 'Temp_F', ROUND(mt, 5), ROUND(st, 5) FROM sc""")
 def scale_fit(spark, d):
-    return _scaler(hourly(spark, d)).select("zone", "feature", F.round("mean", 5).alias("mean"),
-                                            F.round("scale", 5).alias("scale"))
+    return _scaler(hourly(spark, d)).select("zone", "feature", rnd("mean", 5).alias("mean"),
+                                            rnd("scale", 5).alias("scale"))
 
 
 @query("scale_apply_invert", "WITH " + HOURLY + SCALER + f"""
@@ -181,8 +181,8 @@ def scale_apply(spark, d):
     scaler = _scaler(h)
     scaled = C.apply_scaler(h, scaler, ["load_est", "Temp_F"]).withColumn("load_back", F.col("load_est"))
     back = C.invert_scaler(scaled, scaler, "load_est", ["load_back"])
-    return keyed(back, F.round("load_est", 5).alias("load_scaled"), F.round("Temp_F", 5).alias("temp_scaled"),
-                 F.round("load_back", 5).alias("load_back"))
+    return keyed(back, rnd("load_est", 5).alias("load_scaled"), rnd("Temp_F", 5).alias("temp_scaled"),
+                 rnd("load_back", 5).alias("load_back"))
 
 
 @query("scale_target", "WITH " + HOURLY + """,
@@ -191,6 +191,6 @@ SELECT zone, 'load' AS feature, ROUND(AVG(load), 5) AS mean, ROUND(stddev_pop(lo
 FROM hourly JOIN n USING (zone) WHERE p < cut GROUP BY 1""")
 def scale_target(spark, d):
     s = C.fit_target_scaler(hourly(spark, d), 0.2, position="clock")
-    return s.select("zone", "feature", F.round("mean", 5).alias("mean"), F.round("scale", 5).alias("scale"))
+    return s.select("zone", "feature", rnd("mean", 5).alias("mean"), rnd("scale", 5).alias("scale"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hourcast.functions import local_of
 from hourcast.schema import SampleConfig
 
+from .registry import rnd
+
 TZ = "America/New_York"
 SEQ = ("load_est", "Temp_F", "CDD_cum_24h")
 CFG = SampleConfig(lookback=48, history=72, week=24, test_frac=0.2, seq_cols=SEQ, position="clock")
@@ -25,8 +27,7 @@ def ts_text(c: str | Column) -> Column:
 
 
 def r6(c: str | Column, name: str | None = None) -> Column:
-    out = F.round(F.col(c) if isinstance(c, str) else c, 6)
-    return out.alias(name or (c if isinstance(c, str) else "value"))
+    return rnd(c, 6).alias(name or (c if isinstance(c, str) else "value"))
 
 
 def _cents(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .quantiles import bin_index, group_ranks, inner_edges, quantiles
+from .quantiles import at_or_above, bin_of_rank, group_ranks, quantiles, value_ranks
 from .regimes import add_regime
 
 BY = ("zone", "model")
@@ -61,21 +61,15 @@ def basic_scores(errors: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return out.withColumn("bias", F.when(F.col("me") > 0, "over").otherwise("under"))
 
 
-def quantile_bins(errors: DataFrame, value: str, bins: int = 10,
-                  by: Sequence[str] = BY) -> DataFrame:
-    """Tag rows with ``bin``: right-closed equal-frequency bins of ``value`` per group."""
-    rows = _scored(errors)
-    edges = quantiles(rows, by, value, [i / bins for i in range(bins + 1)], "_edges")
-    borders = edges.withColumn("_edges", inner_edges(F.col("_edges")))
-    return rows.join(borders, list(by)).withColumn("bin", bin_index(value, "_edges", bins)).drop("_edges")
-
-
 def bin_means(errors: DataFrame, value: str = "true_load", bins: int = 10,
               by: Sequence[str] = BY) -> DataFrame:
-    """Mean value and mean signed error per quantile bin."""
-    return quantile_bins(errors, value, bins, by).groupBy(*by, "bin").agg(
-        F.avg(value).alias("centre"), F.avg("signed_error").alias("resid"),
-        F.count(F.lit(1)).alias("n"))
+    """Mean value and mean signed error per equal-frequency bin; bins are numbered in order."""
+    ranked = value_ranks(_scored(errors), by, value, {"_e": F.sum(F.col("pred") - F.col("true_load"))})
+    means = (ranked.withColumn("_bin", bin_of_rank(bins)).groupBy(*by, "_bin").agg(
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("centre"),
+        (F.sum("_e") / F.sum("n")).alias("resid"), F.sum("n").alias("n")))
+    place = F.row_number().over(W.partitionBy(*by).orderBy("_bin")) - 1
+    return means.withColumn("bin", place).drop("_bin")
 
 
 def binned_residual_slope(errors: DataFrame, bins: int = 10, by: Sequence[str] = BY) -> DataFrame:
@@ -86,32 +80,26 @@ def binned_residual_slope(errors: DataFrame, bins: int = 10, by: Sequence[str] =
 
 def peak_mape(errors: DataFrame, q: float = 0.9, by: Sequence[str] = BY) -> DataFrame:
     """MAPE over the hours at or above the q-quantile of the actual load."""
-    rows = _scored(errors)
-    limit = quantiles(rows, by, "true_load", [q], "_q")
-    peak = rows.join(limit, list(by)).where(F.col("true_load") >= F.col("_q")[0])
-    return peak.groupBy(*by).agg(
-        (F.avg(ape(F.col("true_load"), F.col("pred"))) * 100).alias("peak_mape"))
+    ranked = value_ranks(_scored(errors), by, "true_load",
+                         {"_a": F.sum(ape(F.col("true_load"), F.col("pred")))})
+    return ranked.where(at_or_above(q)).groupBy(*by).agg(
+        (F.sum("_a") / F.sum("n") * 100).alias("peak_mape"))
 
 
-def scoreboard(errors: DataFrame, by: Sequence[str] = BY, bins: int = 10) -> DataFrame:
-    """Basic scores, BRS and peak MAPE. One quantile pass serves the bins and the peak limit."""
+def scoreboard(errors: DataFrame, by: Sequence[str] = BY, bins: int = 10,
+               peak: float = 0.9) -> DataFrame:
+    """Basic scores, BRS and peak MAPE from one reduction of the rows to distinct actuals."""
     by = list(by)
-    rows = _scored(errors)
-    probs = sorted({i / bins for i in range(bins + 1)} | {0.9})
-    peak = probs.index(0.9)
-    edges = F.array(*[F.col("_q")[probs.index(i / bins)] for i in range(bins + 1)])
-    table = quantiles(rows, by, "true_load", probs, "_q").select(
-        *by, inner_edges(edges).alias("_edges"), F.col("_q")[peak].alias("_peak"))
-    a = ape(F.col("true_load"), F.col("pred"))
-    e = F.col("pred") - F.col("true_load")
-    is_peak = F.col("true_load") >= F.col("_peak")
-    per_bin = (rows.join(table, by).withColumn("bin", bin_index("true_load", "_edges", bins))
-               .groupBy(*by, "bin").agg(
-                   F.count(e).alias("_n"), F.sum(a).alias("_a"), F.sum(F.abs(e)).alias("_ae"),
-                   F.sum(e * e).alias("_se"), F.sum(e).alias("_e"),
-                   F.sum(F.when(is_peak, a)).alias("_pa"), F.count(F.when(is_peak, 1)).alias("_pn"),
-                   F.avg("true_load").alias("_c"), F.avg(e).alias("_r")))
-    n = F.sum("_n")
+    a, e = ape(F.col("true_load"), F.col("pred")), F.col("pred") - F.col("true_load")
+    ranked = value_ranks(_scored(errors), by, "true_load", {
+        "_a": F.sum(a), "_ae": F.sum(F.abs(e)), "_se": F.sum(e * e), "_e": F.sum(e)})
+    high = at_or_above(peak)
+    per_bin = ranked.withColumn("_bin", bin_of_rank(bins)).groupBy(*by, "_bin").agg(
+        *[F.sum(c).alias(c) for c in ("n", "_a", "_ae", "_se", "_e")],
+        F.sum(F.when(high, F.col("_a"))).alias("_pa"), F.sum(F.when(high, F.col("n"))).alias("_pn"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("_c"),
+        (F.sum("_e") / F.sum("n")).alias("_r"))
+    n = F.sum("n")
     out = per_bin.groupBy(*by).agg(
         (F.sum("_a") / n * 100).alias("mape"), (F.sum("_ae") / n).alias("mae"),
         F.sqrt(F.sum("_se") / n).alias("rmse"), (F.sum("_e") / n).alias("me"),
@@ -219,14 +207,14 @@ def store_errors(preds: DataFrame, metered: DataFrame, tz: str | None = None) ->
             .withColumn("signed_error", F.col("pred") - F.col("metered")))
 
 
-def store_scoreboard(preds: DataFrame, metered: DataFrame) -> DataFrame:
-    """Scored-window table per zone and model, rounded as shown to readers."""
+def store_scoreboard(preds: DataFrame, metered: DataFrame, rounded_scores: bool = True) -> DataFrame:
+    """Scored-window table per zone and model, rounded as shown to readers (2 digits, BRS 4)."""
     rounded = (preds.withColumn("pred", F.round("pred", 1)),
                metered.withColumn("metered", F.round("metered", 1)))
     board = scoreboard(store_errors(*rounded))
-    return board.select(
-        "zone", "model", *[F.round(c, 2).alias(c) for c in ("mape", "mae", "rmse", "me")],
-        F.round("brs", 4).alias("brs"), F.col("n_hours").alias("hours"))
+    digits = {"mape": 2, "mae": 2, "rmse": 2, "me": 2, "brs": 4}
+    scores = [F.round(c, n).alias(c) if rounded_scores else F.col(c) for c, n in digits.items()]
+    return board.select("zone", "model", *scores, F.col("n_hours").alias("hours"))
 
 
 def day_status(metered: DataFrame) -> DataFrame:
