@@ -12,7 +12,7 @@ A summary holds at most one row per chunk of the calendar, so its zone windows s
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -106,10 +106,33 @@ def neighbours(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("zone",)
     return out.drop("chunk", *[f"_before_{c}" for c in cols], *[f"_after_{c}" for c in cols])
 
 
-def zone_flag(df: DataFrame, flag: Column, out: str, by: Sequence[str] = ("zone",)) -> DataFrame:
-    """True on every row of a zone in which ``flag`` holds for any row."""
-    hits = df.groupBy(*by).agg(F.max(F.coalesce(flag, F.lit(False))).alias(out))
-    return df.join(hits, list(by))
+def zone_totals(df: DataFrame, totals: dict[str, tuple[Column, Callable]], by: Sequence[str] = ("zone",),
+                ts: str = "ts_utc", size: int = CHUNK_HOURS) -> DataFrame:
+    """Attach zone-level values to every row: ``name: (aggregate, combine)``, e.g.
+    ``(F.max(x), F.max)``.
+
+    Reduced per (zone, block of time), combined over the zone's few blocks and joined back on
+    (zone, block): rows are never gathered by zone, and what follows is not partitioned by zone
+    alone either, so a zone with a large share of the rows keeps its parallelism.
+    """
+    by = list(by)
+    tagged = df.withColumn("_block", F.floor(hour_number(F.col(ts)) / size))
+    blocks = tagged.groupBy(*by, "_block").agg(*[agg.alias(n) for n, (agg, _) in totals.items()])
+    zone = W.partitionBy(*by)
+    whole = blocks.select(*by, "_block", *[f(n).over(zone).alias(n) for n, (_, f) in totals.items()])
+    return tagged.join(whole, by + ["_block"]).drop("_block")
+
+
+def salted_join(df: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Sequence[str],
+                how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join a per-group table to rows whose groups may be very uneven.
+
+    Each group is cut into ``salts`` parts by a hash of ``spread_by`` and the small side repeated
+    for each, so no group is one task, whatever join Spark picks from the sizes.
+    """
+    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    return df.withColumn("_salt", salt).join(parts, [*on, "_salt"], how).drop("_salt")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

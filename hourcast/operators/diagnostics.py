@@ -131,7 +131,7 @@ def common_keys(x: DataFrame, y: DataFrame) -> DataFrame:
 
 def tail_error_hours(errors: DataFrame, frac: float = 0.1, by: Sequence[str] = BY) -> DataFrame:
     """Hour distribution of the most over- and under-predicted rows, with lift over all rows."""
-    ranked = group_ranks(errors, by, "signed_error", ["datetime"], "_up", "_n")
+    ranked = group_ranks(errors, by, "signed_error", "datetime", "_up", "_n")
     k = F.greatest(F.lit(1), F.rint(F.col("_n") * frac).cast("bigint"))
     tagged = ranked.withColumns({"_k": k, "_over": F.col("_up") > F.col("_n") - k,
                                  "_under": F.col("_up") <= k})

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .chunks import salted_join
 from .quantiles import at_or_above, bin_of_rank, group_ranks, quantiles, value_ranks
 from .regimes import add_regime
 
@@ -143,12 +144,12 @@ def error_histogram(errors: DataFrame, bins: int = 50, value: str | Column = "si
                     by: Sequence[str] = BY) -> DataFrame:
     """Equal-width bins between a group's min and max; the last bin is closed on the right."""
     v = F.col(value) if isinstance(value, str) else value
-    rows = errors.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
+    rows = errors.select(*by, "datetime", v.alias("_v")).where(F.col("_v").isNotNull())
     span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     k = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), width), F.lit(0.0)) * bins),
                 F.lit(bins - 1))
-    counted = rows.join(span, list(by)).groupBy(*by, "_lo", "_hi", k.alias("bin")).agg(
+    counted = salted_join(rows, span, list(by), ["datetime"]).groupBy(*by, "_lo", "_hi", k.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
     step = width / bins
     return counted.select(*by, "bin", (F.col("_lo") + F.col("bin") * step).alias("left_edge"),
@@ -161,9 +162,9 @@ def signed_pct() -> Column:
 
 
 def error_cdf(errors: DataFrame, value: str = "signed_error", by: Sequence[str] = BY,
-              ties: Sequence[str] = ("datetime",)) -> DataFrame:
+              tie: str = "datetime") -> DataFrame:
     """Empirical CDF in percent: rank / n * 100 with every row its own step."""
-    ranked = group_ranks(errors, by, value, ties, "_rank", "_size")
+    ranked = group_ranks(errors, by, value, tie, "_rank", "_size")
     return ranked.withColumn("cdf", F.col("_rank") / F.col("_size") * 100).drop("_rank", "_size")
 
 

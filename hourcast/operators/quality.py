@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cyclic, is_us_holiday, truthy
-from .chunks import (chunk_window, hour_number, neighbours, with_halo, with_position, zone_flag)
+from .chunks import hour_number, neighbours, salted_join, with_position, zone_totals
 from .quantiles import quantiles
 
 
@@ -17,17 +17,16 @@ def drop_unverified_tail(df: DataFrame, flag: str = "is_verified") -> DataFrame:
     """
     if flag not in df.columns:
         return df
-    last = df.groupBy("zone").agg(
-        F.max(F.when(truthy(F.col(flag)), F.col("ts_utc"))).alias("_last_verified"))
+    last = F.max(F.when(truthy(F.col(flag)), F.col("ts_utc")))
     kept = F.col("_last_verified").isNull() | (F.col("ts_utc") <= F.col("_last_verified"))
-    return df.join(last, "zone").where(kept).drop("_last_verified")
+    return zone_totals(df, {"_last_verified": (last, F.max)}).where(kept).drop("_last_verified")
 
 
 def null_upper_outliers(df: DataFrame, col: str, k: float = 10.0) -> DataFrame:
     """Set values above q3 + k * IQR of their zone to null (upper side only)."""
     q = quantiles(df, ["zone"], col, [0.25, 0.75], "_q")
     limit = F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])
-    return (df.join(q, "zone", "left")
+    return (salted_join(df, q, ["zone"], ["ts_utc"], "left")
             .withColumn(col, F.when(F.col(col) > limit, None).otherwise(F.col(col))).drop("_q"))
 
 
@@ -79,7 +78,8 @@ def rescale(df: DataFrame, col: str, divisors: Mapping[str, float]) -> DataFrame
 
 def rescale_by_table(df: DataFrame, col: str, divisors: DataFrame) -> DataFrame:
     """As ``rescale``, with a (zone, divisor) table for many zones."""
-    return (df.join(divisors.select("zone", F.col("divisor").alias("_d")), "zone", "left")
+    table = divisors.select("zone", F.col("divisor").alias("_d"))
+    return (salted_join(df, table, ["zone"], ["ts_utc"], "left")
             .withColumn(col, F.col(col) / F.coalesce(F.col("_d"), F.lit(1.0))).drop("_d"))
 
 
@@ -91,7 +91,8 @@ def flag_labels(df: DataFrame, label: str = "load") -> DataFrame:
 def repair_impossible(df: DataFrame, col: str = "load", position: str = "rank") -> DataFrame:
     """Values <= 0 become null and interior nulls are interpolated, but only in a zone that holds
     such a value; the unlabelled tail is never filled."""
-    flagged = zone_flag(df, F.col(col) <= 0, "_bad")
+    bad = F.max(F.coalesce(F.col(col) <= 0, F.lit(False)))
+    flagged = zone_totals(df, {"_bad": (bad, F.max)})
     nulled = flagged.withColumn("_fixed", F.when(F.col(col) > 0, F.col(col)))
     filled = interpolate(nulled, "_fixed", inside_only=True, position=position)
     return (filled.withColumn(col, F.when(F.col("_bad"), F.col("_fixed")).otherwise(F.col(col)))
@@ -107,10 +108,9 @@ def add_calendar(df: DataFrame, local: str = "ts_local") -> DataFrame:
     c = F.col(local)
     hour_sin, hour_cos = cyclic(F.hour(c), 24)
     month_sin, month_cos = cyclic(F.month(c), 12)
-    first = df.groupBy("zone").agg(F.min(local).alias("_first_local"))
     day = F.to_date(c)
     holiday = is_us_holiday(day) & (day.cast("timestamp_ntz") >= F.col("_first_local"))
-    return (df.join(first, "zone")
+    return (zone_totals(df, {"_first_local": (F.min(local), F.min)})
             .withColumns({
                 "hour": F.hour(c), "month": F.month(c),
                 "hour_sin": hour_sin, "hour_cos": hour_cos,

@@ -51,21 +51,6 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str | Column, probs: Sequen
     return picked.select(*by, F.expr(f"array({', '.join(values)})").alias(out))
 
 
-def group_ranks(df: DataFrame, by: Sequence[str], col: str, ties: Sequence[str],
-                out: str = "rank", size: str = "group_size") -> DataFrame:
-    """1-based ascending rank of each row in its group by (col, ties), and the group's size."""
-    by = list(by)
-    tagged = df.where(F.col(col).isNotNull()).withColumn("_cell", cell_of(F.col(col)))
-    before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = (tagged.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_cn"))
-             .withColumn("_start", F.coalesce(F.sum("_cn").over(before), F.lit(0)))
-             .withColumn(size, F.sum("_cn").over(W.partitionBy(*by))).drop("_cn"))
-    inner = W.partitionBy(*by, "_cell").orderBy(col, *ties)
-    return (tagged.join(cells, by + ["_cell"])
-            .withColumn(out, F.col("_start") + F.row_number().over(inner))
-            .drop("_cell", "_start"))
-
-
 def value_ranks(df: DataFrame, by: Sequence[str], col: str,
                 sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per (group, distinct value): ``n`` rows, ``first_rank`` (0-based), ``total`` rows of
@@ -101,3 +86,26 @@ def bin_of_rank(bins: int) -> Column:
 def at_or_above(p: float) -> Column:
     """True when a ``value_ranks`` row is at or above the interpolated quantile p."""
     return F.expr(f"first_rank + n - 1 >= ceil({float(p)!r}D * (total - 1))")
+
+
+def group_ranks(df: DataFrame, by: Sequence[str], col: str, tie: str,
+                out: str = "rank", size: str = "group_size", block_hours: int = 2160) -> DataFrame:
+    """1-based ascending rank of each row in its group by (col, tie), and the group's size.
+
+    ``tie`` is a time column. Rows of one value are ranked per block of time, so even a value that
+    a large share of the rows has is many small sorts.
+    """
+    by = list(by)
+    block = F.floor(F.unix_seconds(F.col(tie).cast("timestamp")) / (3600 * block_hours))
+    tagged = (df.where(F.col(col).isNotNull())
+              .withColumns({"value": F.col(col).cast("double"), "_block": block}))
+    earlier = W.partitionBy(*by, "value").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = (tagged.groupBy(*by, "value", "_block").agg(F.count(F.lit(1)).alias("_k"))
+              .withColumn("_skip", F.coalesce(F.sum("_k").over(earlier), F.lit(0))).drop("_k"))
+    ranks = value_ranks(tagged.select(*by, "value"), by, "value").select(
+        *by, "value", "first_rank", F.col("total").alias(size))
+    place = blocks.join(ranks, [*by, "value"])
+    inner = W.partitionBy(*by, "value", "_block").orderBy(tie)
+    rank = F.col("first_rank") + F.col("_skip") + F.row_number().over(inner)
+    return (tagged.join(place, [*by, "value", "_block"]).withColumn(out, rank)
+            .drop("value", "_block", "first_rank", "_skip"))

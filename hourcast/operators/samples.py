@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cyclic
 from ..schema import LEAD_DAYS, SampleConfig
-from .chunks import CHUNK_HOURS, chunk_window, with_halo, with_position
+from .chunks import CHUNK_HOURS, chunk_window, with_halo, with_position, zone_totals
 from .quantiles import quantiles
 from .rolling import THERMAL_REACH, daily_temperature, heat_streak, thermal_columns
 
@@ -232,17 +232,12 @@ class ThermalRefs:
     climatology: DataFrame
 
 
-def train_cut(df: DataFrame, test_frac: float) -> DataFrame:
-    """(zone, cut): rows with ``pos < cut`` are the first int(n * (1 - test_frac)) of the zone."""
-    return df.groupBy("zone").agg(
-        (F.min("pos") + F.floor(F.count(F.lit(1)) * (1 - test_frac))).alias("cut"))
-
-
 def mark_train(df: DataFrame, test_frac: float, position: str = "rank") -> DataFrame:
-    """Add ``is_train`` by row position within the zone."""
-    rows = with_position(df, position)
-    return (rows.join(train_cut(rows, test_frac), "zone")
-            .withColumn("is_train", F.col("pos") < F.col("cut")).drop("cut"))
+    """Add ``is_train``: the first int(n * (1 - test_frac)) rows of each zone, by position."""
+    rows = zone_totals(with_position(df, position), {
+        "_from": (F.min("pos"), F.min), "_rows": (F.count(F.lit(1)), F.sum)})
+    cut = F.col("_from") + F.floor(F.col("_rows") * (1 - test_frac))
+    return rows.withColumn("is_train", F.col("pos") < cut).drop("_from", "_rows")
 
 
 def fit_heat_threshold(daily: DataFrame, pct: float = 0.75, default: float = 75.0) -> DataFrame:

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from .chunks import zone_totals
+
 KEYS = ["zone", "ts_utc"]
 
 
@@ -12,9 +14,8 @@ def prune(df: DataFrame, keep_days: int | None) -> DataFrame:
     """Hours after a zone's latest one minus ``keep_days``."""
     if keep_days is None:
         return df
-    last = df.groupBy("zone").agg(F.max("ts_utc").alias("_max"))
     keep = F.col("ts_utc") > F.col("_max") - F.make_dt_interval(days=F.lit(keep_days))
-    return df.join(last, "zone").where(keep).drop("_max")
+    return zone_totals(df, {"_max": (F.max("ts_utc"), F.max)}).where(keep).drop("_max")
 
 
 def freeze_merge(store: DataFrame, fresh: DataFrame, keep_days: int | None = 10) -> DataFrame:

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.chunks import zone_totals
 from ..session import scratch_dir
 
 
@@ -48,8 +49,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def recent(df: DataFrame, days: int = 45, ts: str = "ts_utc") -> DataFrame:
     """Rows after each zone's latest hour minus ``days``."""
-    last = df.groupBy("zone").agg(F.max(ts).alias("_max"))
-    return (df.join(last, "zone")
+    return (zone_totals(df, {"_max": (F.max(ts), F.max)}, ts=ts)
             .where(F.col(ts) > F.col("_max") - F.make_dt_interval(days=F.lit(days))).drop("_max"))
 
 
