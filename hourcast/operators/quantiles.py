@@ -54,7 +54,8 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str | Column, probs: Sequen
 def value_ranks(df: DataFrame, by: Sequence[str], col: str,
                 sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per (group, distinct value): ``n`` rows, ``first_rank`` (0-based), ``total`` rows of
-    the group, and aggregates ``sums`` over the rows of that value.
+    the group, ``lowest_n`` rows of its lowest value, and aggregates ``sums`` over the rows of the
+    value.
 
     Enough to place every value among the group's quantiles without computing one (``bin_of_rank``,
     ``at_or_above``), so rows are reduced once and never joined back to a quantile table.
@@ -64,9 +65,11 @@ def value_ranks(df: DataFrame, by: Sequence[str], col: str,
     values = (df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("value"))
               .agg(*aggs).withColumn("_cell", cell_of(F.col("value"))))
     before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = (values.groupBy(*by, "_cell").agg(F.sum("n").alias("_cn"))
-             .withColumn("_start", F.coalesce(F.sum("_cn").over(before), F.lit(0)))
-             .withColumn("total", F.sum("_cn").over(W.partitionBy(*by))).drop("_cn"))
+    whole = W.partitionBy(*by)
+    cells = (values.groupBy(*by, "_cell").agg(F.sum("n").alias("_cn"), F.min_by("n", "value").alias("_fn"))
+             .withColumns({"_start": F.coalesce(F.sum("_cn").over(before), F.lit(0)),
+                           "total": F.sum("_cn").over(whole),
+                           "lowest_n": F.min_by("_fn", "_cell").over(whole)}).drop("_cn", "_fn"))
     inner = W.partitionBy(*by, "_cell").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     return (values.join(cells, by + ["_cell"])
             .withColumn("first_rank", F.col("_start") + F.sum("n").over(inner) - F.col("n"))
@@ -77,9 +80,11 @@ def bin_of_rank(bins: int) -> Column:
     """Right-closed equal-frequency bin of a ``value_ranks`` row.
 
     A value exceeds the interpolated quantile p exactly when its first rank exceeds
-    floor(p * (total - 1)); equal edges give an empty bin, which no row is in.
+    floor(p * (total - 1)). An edge equal to the lowest value is the bottom of bin 0 and does not
+    count; other equal edges only leave a number unused.
     """
-    above = [f"CAST(first_rank > floor({i / bins!r}D * (total - 1)) AS INT)" for i in range(1, bins)]
+    edges = [f"{i / bins!r}D * (total - 1)" for i in range(1, bins)]
+    above = [f"CAST(first_rank > floor({h}) AND ceil({h}) >= lowest_n AS INT)" for h in edges]
     return F.expr(" + ".join(above))
 
 
