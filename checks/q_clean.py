@@ -240,7 +240,7 @@ SELECT zone, {TS}, COALESCE(ROUND(load, 6), -1.0) AS load, COALESCE(ROUND(load_e
   ROUND(COALESCE(x0, x1), 6) AS temp FROM line""")
 def align_full(spark, d):
     """Loads outer-joined, local weather brought to UTC and left-joined, gaps filled."""
-    out = A.align(*_loads(spark, d), _wall(spark, d).drop("h"), TZ)
+    out = A.align(*_loads(spark, d), _wall(spark, d).drop("h"), TZ, staged=True)
     return keyed(out, *[F.coalesce(rnd(c, 6), F.lit(-1.0)).alias(c) for c in ("load", "load_est")],
                  r6("Temp_F", "temp"))
 

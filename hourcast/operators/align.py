@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import day_hours, local_of, local_status, utc_of
+from ..sources.tables import stage
 from .chunks import keep_first
 from .quality import add_calendar, fill_forward_back
 
@@ -38,14 +39,22 @@ def join_loads(metered: DataFrame, preliminary: DataFrame | None, tz: str) -> Da
     return joined.withColumn("ts_local", F.coalesce("ts_local", local_of(F.col("ts_utc"), tz)))
 
 
+def join_weather(loads: DataFrame, weather: DataFrame, tz: str, time_col: str = "time") -> DataFrame:
+    """Left join of local-time weather onto the loads, by UTC hour."""
+    return loads.join(to_utc(weather, time_col, tz).drop(time_col), ["zone", "ts_utc"], "left")
+
+
 def align(metered: DataFrame, preliminary: DataFrame | None, weather: DataFrame, tz: str,
-          time_col: str = "time", max_gap: int | None = None, position: str = "rank") -> DataFrame:
-    """One hourly frame: loads joined, weather left-joined and filled forward, then back."""
-    loads = join_loads(metered, preliminary, tz)
-    on_utc = to_utc(weather, time_col, tz).drop(time_col)
-    weather_cols = [c for c in on_utc.columns if c not in ("zone", "ts_utc")]
-    joined = loads.join(on_utc, ["zone", "ts_utc"], "left")
-    return fill_forward_back(joined, weather_cols, max_gap, position)
+          time_col: str = "time", max_gap: int | None = None, staged: bool = False) -> DataFrame:
+    """One hourly frame: loads joined, weather left-joined and filled forward, then back.
+
+    Filling reads the joined rows twice; ``staged`` writes them once instead of joining twice.
+    """
+    joined = join_weather(join_loads(metered, preliminary, tz), weather, tz, time_col)
+    if staged:
+        joined = stage(joined, "joined")
+    weather_cols = [c for c in weather.columns if c not in ("zone", "ts_utc", time_col)]
+    return fill_forward_back(joined, weather_cols, max_gap)
 
 
 def local_day_hours(days: DataFrame, tz: str, day: str = "target_day") -> DataFrame:

@@ -77,33 +77,53 @@ def causal(df: DataFrame, columns: dict[str, Column], before: int, by: Sequence[
     return out.where("is_home").drop("chunk", "is_home")
 
 
-def neighbours(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("zone",),
-               size: int = CHUNK_HOURS) -> DataFrame:
-    """For each column add ``_prev_c`` / ``_next_c``: struct(pos, v) of the closest non-null value
-    at or before / at or after the row, however far away."""
-    by = list(by)
-    tagged = df.withColumn("chunk", F.floor(F.col("pos") / size))
-
-    def known(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col("pos").alias("pos"), F.col(c).alias("v")))
-
-    ends = tagged.groupBy(*by, "chunk").agg(
-        *[F.max(known(c)).alias(f"_last_{c}") for c in cols],
-        *[F.min(known(c)).alias(f"_first_{c}") for c in cols])
-    earlier = W.partitionBy(*by).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy(*by).orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)
-    carry = ends.select(
-        *by, "chunk",
-        *[F.last(f"_last_{c}", True).over(earlier).alias(f"_before_{c}") for c in cols],
-        *[F.last(f"_first_{c}", True).over(later).alias(f"_after_{c}") for c in cols])
-    up = W.partitionBy(*by, "chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*by, "chunk").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
-    out = tagged.join(carry, by + ["chunk"])
-    out = out.withColumns({f"_prev_{c}": F.coalesce(F.last(known(c), True).over(up),
-                                                    F.col(f"_before_{c}")) for c in cols})
-    out = out.withColumns({f"_next_{c}": F.coalesce(F.last(known(c), True).over(down),
-                                                    F.col(f"_after_{c}")) for c in cols})
-    return out.drop("chunk", *[f"_before_{c}" for c in cols], *[f"_after_{c}" for c in cols])
+def neighbours(df: DataFrame, cols: Sequence[str], how: str = "rank", by: Sequence[str] = ("zone",),
+               ts: str = "ts_utc", size: int = CHUNK_HOURS,
+               totals: dict[str, tuple[Column, Callable]] | None = None) -> DataFrame:
+    """For each column add ``_prev_c`` / ``_next_c``: struct(pos, v) of the closest non-null value at
+    or before / at or after the row, however far away; and the row's own ``_pos``.
+
+    ``how`` is the position mode. ``totals`` attaches zone-level values as ``zone_totals`` does, from
+    the same summary. Rows are shuffled once, by (zone, block of time).
+    """
+    by, totals = list(by), totals or {}
+    cell = [*by, "_cell"]
+    tagged = df.withColumn("_cell", F.floor(hour_number(F.col(ts)) / size))
+    if how == "rank":
+        tagged = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*cell).orderBy(ts)) - 1)
+    elif how == "clock":
+        tagged = tagged.withColumn("_local", hour_number(F.col(ts)) - F.col("_cell") * size)
+    else:
+        raise ValueError(f"unknown position mode {how!r}")
+
+    def known(c: str, pos: Column) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(pos.alias("pos"), F.col(c).alias("v")))
+
+    def moved(c: str) -> Column:
+        """The same value with its position counted from the zone's start."""
+        return F.when(F.col(c).isNotNull(), F.struct(
+            (F.col("_start") + F.col(c)["pos"]).alias("pos"), F.col(c)["v"].alias("v")))
+
+    earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) if how == "rank" else F.col("_cell") * size)
+    ends = tagged.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.max(known(c, F.col("_local"))).alias(f"_last_{c}") for c in cols],
+        *[F.min(known(c, F.col("_local"))).alias(f"_first_{c}") for c in cols],
+        *[agg.alias(n) for n, (agg, _) in totals.items()])
+    carry = ends.withColumn("_start", start).select(
+        *cell, "_start",
+        *[F.last(moved(f"_last_{c}"), True).over(earlier).alias(f"_before_{c}") for c in cols],
+        *[F.last(moved(f"_first_{c}"), True).over(later).alias(f"_after_{c}") for c in cols],
+        *[f(n).over(W.partitionBy(*by)).alias(n) for n, (_, f) in totals.items()])
+    up = W.partitionBy(*cell).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*cell).orderBy(F.desc("_pos")).rowsBetween(W.unboundedPreceding, 0)
+    out = tagged.join(carry, cell).withColumn("_pos", F.col("_start") + F.col("_local"))
+    for name, w, beyond in (("_prev_", up, "_before_"), ("_next_", down, "_after_")):
+        out = out.withColumns({f"{name}{c}": F.coalesce(F.last(known(c, F.col("_pos")), True).over(w),
+                                                        F.col(f"{beyond}{c}")) for c in cols})
+    return out.drop("_cell", "_local", "_start", *[f"_before_{c}" for c in cols], *[f"_after_{c}" for c in cols])
 
 
 def zone_totals(df: DataFrame, totals: dict[str, tuple[Column, Callable]], by: Sequence[str] = ("zone",),

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cyclic, is_us_holiday, truthy
-from .chunks import hour_number, neighbours, salted_join, with_position, zone_totals
+from .chunks import hour_number, neighbours, salted_join, zone_totals
 from .quantiles import quantiles
 
 
@@ -30,6 +30,18 @@ def null_upper_outliers(df: DataFrame, col: str, k: float = 10.0) -> DataFrame:
             .withColumn(col, F.when(F.col(col) > limit, None).otherwise(F.col(col))).drop("_q"))
 
 
+def _line(col: str, inside_only: bool, max_gap: int | None = None) -> Column:
+    """Value on the straight line between the known neighbours of a ``neighbours`` row."""
+    prev, nxt, pos = F.col(f"_prev_{col}"), F.col(f"_next_{col}"), F.col("_pos")
+    step = F.try_divide((pos - prev["pos"]).cast("double"), nxt["pos"] - prev["pos"])
+    filled = F.when(prev.isNotNull() & nxt.isNotNull(), prev["v"] + (nxt["v"] - prev["v"]) * step)
+    if not inside_only:
+        filled = F.coalesce(filled, prev["v"], nxt["v"])
+    if max_gap is not None:
+        filled = F.when(nxt["pos"] - prev["pos"] - 1 <= max_gap, filled)
+    return F.coalesce(F.col(col), filled)
+
+
 def interpolate(df: DataFrame, col: str, inside_only: bool = False,
                 max_gap: int | None = None, position: str = "rank") -> DataFrame:
     """Fill nulls on the straight line between the nearest known rows, by row position.
@@ -37,34 +49,24 @@ def interpolate(df: DataFrame, col: str, inside_only: bool = False,
     Leading and trailing nulls take the nearest known value, or stay null with ``inside_only``.
     ``max_gap`` leaves longer runs of nulls alone.
     """
-    had_pos = "pos" in df.columns
-    near = neighbours(with_position(df, position), [col])
-    prev, nxt, pos = F.col(f"_prev_{col}"), F.col(f"_next_{col}"), F.col("pos")
-    line = prev["v"] + (nxt["v"] - prev["v"]) * (pos - prev["pos"]) / (nxt["pos"] - prev["pos"])
-    filled = F.when(prev.isNotNull() & nxt.isNotNull(), line)
-    if not inside_only:
-        filled = F.coalesce(filled, prev["v"], nxt["v"])
-    if max_gap is not None:
-        filled = F.when(nxt["pos"] - prev["pos"] - 1 <= max_gap, filled)
-    out = near.withColumn(col, F.coalesce(F.col(col), filled)).drop(f"_prev_{col}", f"_next_{col}")
-    return out if had_pos else out.drop("pos")
+    near = neighbours(df, [col], position)
+    return (near.withColumn(col, _line(col, inside_only, max_gap))
+            .drop("_pos", f"_prev_{col}", f"_next_{col}"))
 
 
-def fill_forward_back(df: DataFrame, cols: Sequence[str], max_gap: int | None = None,
-                      position: str = "rank") -> DataFrame:
-    """Nulls take the last known value before them, else the first one after."""
-    had_pos = "pos" in df.columns
-    out = neighbours(with_position(df, position), cols)
+def fill_forward_back(df: DataFrame, cols: Sequence[str], max_gap: int | None = None) -> DataFrame:
+    """Nulls take the last known value before them, else the first one after; with ``max_gap`` only
+    when that value is at most so many hours away."""
+    out = neighbours(df, cols, "clock")
+    filled = {}
     for c in cols:
         prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
         value = F.coalesce(prev["v"], nxt["v"])
         if max_gap is not None:
-            gap = F.least(F.coalesce(F.col("pos") - prev["pos"], nxt["pos"] - F.col("pos")),
-                          F.coalesce(nxt["pos"] - F.col("pos"), F.col("pos") - prev["pos"]))
+            gap = F.coalesce(F.col("_pos") - prev["pos"], nxt["pos"] - F.col("_pos"))
             value = F.when(gap <= max_gap, value)
-        out = out.withColumn(c, F.coalesce(F.col(c), value))
-    out = out.drop(*[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
-    return out if had_pos else out.drop("pos")
+        filled[c] = F.coalesce(F.col(c), value)
+    return out.withColumns(filled).drop("_pos", *[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
 
 
 def rescale(df: DataFrame, col: str, divisors: Mapping[str, float]) -> DataFrame:
@@ -91,12 +93,16 @@ def flag_labels(df: DataFrame, label: str = "load") -> DataFrame:
 def repair_impossible(df: DataFrame, col: str = "load", position: str = "rank") -> DataFrame:
     """Values <= 0 become null and interior nulls are interpolated, but only in a zone that holds
     such a value; the unlabelled tail is never filled."""
+    out = _repaired(df, col, position, {})
+    return out.drop("_bad")
+
+
+def _repaired(df: DataFrame, col: str, position: str, totals: dict) -> DataFrame:
     bad = F.max(F.coalesce(F.col(col) <= 0, F.lit(False)))
-    flagged = zone_totals(df, {"_bad": (bad, F.max)})
-    nulled = flagged.withColumn("_fixed", F.when(F.col(col) > 0, F.col(col)))
-    filled = interpolate(nulled, "_fixed", inside_only=True, position=position)
-    return (filled.withColumn(col, F.when(F.col("_bad"), F.col("_fixed")).otherwise(F.col(col)))
-            .drop("_bad", "_fixed"))
+    near = neighbours(df.withColumn("_fixed", F.when(F.col(col) > 0, F.col(col))), ["_fixed"], position,
+                      totals={"_bad": (bad, F.max), **totals})
+    value = F.when(F.col("_bad"), _line("_fixed", inside_only=True)).otherwise(F.col(col))
+    return near.withColumn(col, value).drop("_fixed", "_pos", "_prev__fixed", "_next__fixed")
 
 
 def add_calendar(df: DataFrame, local: str = "ts_local") -> DataFrame:
@@ -105,34 +111,35 @@ def add_calendar(df: DataFrame, local: str = "ts_local") -> DataFrame:
     A holiday that falls on the first local day of a zone counts only if the series starts at
     midnight of it.
     """
+    out = zone_totals(df, {"_first_local": (F.min(local), F.min)})
+    return out.withColumns(_calendar(local)).drop("_first_local")
+
+
+def _calendar(local: str) -> dict[str, Column]:
     c = F.col(local)
     hour_sin, hour_cos = cyclic(F.hour(c), 24)
     month_sin, month_cos = cyclic(F.month(c), 12)
     day = F.to_date(c)
     holiday = is_us_holiday(day) & (day.cast("timestamp_ntz") >= F.col("_first_local"))
-    return (zone_totals(df, {"_first_local": (F.min(local), F.min)})
-            .withColumns({
-                "hour": F.hour(c), "month": F.month(c),
-                "hour_sin": hour_sin, "hour_cos": hour_cos,
-                "month_sin": month_sin, "month_cos": month_cos,
-                "dayofweek": F.weekday(c),
-                "is_weekend": (F.weekday(c) >= 5).cast("int"),
-                "is_holiday": holiday.cast("int"),
-            }).drop("_first_local"))
+    return {
+        "hour": F.hour(c), "month": F.month(c), "hour_sin": hour_sin, "hour_cos": hour_cos,
+        "month_sin": month_sin, "month_cos": month_cos, "dayofweek": F.weekday(c),
+        "is_weekend": (F.weekday(c) >= 5).cast("int"), "is_holiday": holiday.cast("int"),
+    }
 
 
 def flag_validity(df: DataFrame, col: str = "load", limit: float = 3.0,
                   fit_on: Column | None = None) -> DataFrame:
     """``is_valid``: labelled and within ``limit`` sample deviations of the (month, hour) mean.
 
-    The mean is taken over all rows of the zone; ``fit_on`` restricts it, e.g. to train rows.
+    The mean is taken over all rows of the zone; ``fit_on`` restricts it, e.g. to train rows. A group
+    is at most 31 rows a year, so a window is one shuffle and reads its input once.
     """
-    keys = ["zone", "month", "hour"]
+    group = W.partitionBy("zone", "month", "hour")
     x = F.col(col) if fit_on is None else F.when(fit_on, F.col(col))
-    stats = df.groupBy(*keys).agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
-    z = F.abs((F.col(col) - F.col("_m")) / (F.col("_s") + 1e-6))
+    z = F.abs((F.col(col) - F.avg(x).over(group)) / (F.stddev_samp(x).over(group) + 1e-6))
     ok = F.coalesce(z <= limit, F.lit(False)) & (F.col("has_label") == 1)
-    return df.join(stats, keys).withColumn("is_valid", ok.cast("int")).drop("_m", "_s")
+    return df.withColumn("is_valid", ok.cast("int"))
 
 
 def gaps(df: DataFrame, step_hours: float = 1.0, tolerance: float = 0.0) -> DataFrame:
@@ -205,9 +212,12 @@ def split_hours(df: DataFrame, days: DataFrame, valid_only: bool = True) -> Data
 
 
 def clean(df: DataFrame, position: str = "rank", fit_on: Column | None = None) -> DataFrame:
-    """The whole cleaning step: label flag, impossible loads, calendar, validity."""
-    drop = [c for c in ("POP_pct",) if c in df.columns]
-    out = repair_impossible(flag_labels(df.drop(*drop)), "load", position)
-    return flag_validity(add_calendar(out), fit_on=fit_on)
+    """The whole cleaning step: label flag, impossible loads, calendar, validity.
+
+    Repair and calendar share one summary per (zone, block), so the input is read twice in all.
+    """
+    out = _repaired(flag_labels(df.drop("POP_pct")), "load", position,
+                    {"_first_local": (F.min("ts_local"), F.min)})
+    return flag_validity(out.withColumns(_calendar("ts_local")).drop("_bad", "_first_local"), fit_on=fit_on)
 
 

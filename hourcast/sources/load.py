@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from ..operators.chunks import keep_first
 from ..operators.quality import (drop_unverified_tail, interpolate, null_upper_outliers, rescale)
 from ..schema import LOAD_EST_DIVISOR, METERED, PRELIMINARY
+from .tables import stage
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -71,7 +72,8 @@ def load_preliminary(spark: SparkSession, path: str, zones: Mapping[str, str] |
         area.alias("zone"), _parse("datetime_beginning_utc").alias("ts_utc"),
         F.col("prelim_load_avg_hourly").alias("load_est"), "file", "file_row")
     first = keep_first(rows, ["zone", "ts_utc"], ["file", "file_row"]).drop("file", "file_row")
-    return rescale(clean_preliminary(first), "load_est", divisors)
+    # The quantiles and the bridging read these rows several times; they are deduplicated once.
+    return rescale(clean_preliminary(stage(first, "preliminary")), "load_est", divisors)
 
 
 def clean_preliminary(rows: DataFrame) -> DataFrame:

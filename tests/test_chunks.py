@@ -38,7 +38,7 @@ def test_rank_position_and_causal_across_chunks(spark):
 
 def test_neighbours_far_away(spark):
     df, pdf = sparse(spark, seed=2)
-    got = neighbours(rank_position(df, size=40), ["x"], size=7)
+    got = neighbours(df, ["x"], size=7)
     got = got.select("zone", "ts_utc", F.col("_prev_x.v").alias("p"), F.col("_next_x.v").alias("n")).toPandas()
     got = got.sort_values(["zone", "ts_utc"]).reset_index(drop=True)
     g = pdf.sort_values(["zone", "ts_utc"]).reset_index(drop=True).groupby("zone")["x"]
