@@ -18,6 +18,17 @@ TS = "strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc"
 LT = "strftime(lt, '%Y-%m-%d %H:%M:%S') AS ts_local"
 
 
+HOLIDAYS = "(" + ", ".join(f"DATE '{x}'" for x in """
+1995-01-02 1995-01-16 1995-02-20 1995-05-29 1995-07-04 1995-09-04 1995-10-09 1995-11-10 1995-11-23 1995-12-25
+1996-01-01 1996-01-15 1996-02-19 1996-05-27 1996-07-04 1996-09-02 1996-10-14 1996-11-11 1996-11-28 1996-12-25
+1997-01-01 1997-01-20 1997-02-17 1997-05-26 1997-07-04 1997-09-01 1997-10-13 1997-11-11 1997-11-27 1997-12-25
+1998-01-01 1998-01-19 1998-02-16 1998-05-25 1998-07-03 1998-09-07 1998-10-12 1998-11-11 1998-11-26 1998-12-25
+1999-01-01 1999-01-18 1999-02-15 1999-05-31 1999-07-05 1999-09-06 1999-10-11 1999-11-11 1999-11-25 1999-12-24 1999-12-31
+2000-01-17 2000-02-21 2000-05-29 2000-07-04 2000-09-04 2000-10-09 2000-11-10 2000-11-23 2000-12-25
+2001-01-01 2001-01-15 2001-02-19 2001-05-28 2001-07-04 2001-09-03 2001-10-08 2001-11-12 2001-11-22 2001-12-25
+2024-01-01 2024-10-14 2024-11-11 2024-11-28""".split()) + ")"
+
+
 def keyed(df, *cols):
     return df.select("zone", ts_text("ts_utc").alias("ts_utc"), *cols)
 
@@ -100,6 +111,23 @@ def clean_validity(spark, d):
     return keyed(Q.flag_validity(df, limit=1.5), "is_valid")
 
 
+@query("clean_full", "WITH " + TAIL + """,
+bad AS (SELECT zone, bool_or(COALESCE(load <= 0, false)) AS hit FROM tail GROUP BY 1),
+cut AS (SELECT t.zone, t.ts_utc, t.lt, t.hr, t.load, b.hit, t.h AS k, CASE WHEN load > 0 THEN load END AS x
+        FROM tail t JOIN bad b USING (zone))""" + LINE + f""",
+rep AS (SELECT zone, ts_utc, lt, hr, CAST(load IS NOT NULL AS INTEGER) AS has_label, CASE WHEN hit THEN inside ELSE load END AS y FROM line),
+st AS (SELECT zone, month(lt) AS mo, hr, AVG(y) AS m, stddev_samp(y) AS s FROM rep GROUP BY ALL),
+fl AS (SELECT zone, MIN(lt) AS first_lt FROM tail GROUP BY 1)
+SELECT r.zone, {TS}, has_label, COALESCE(ROUND(y, 6), -1.0) AS load,
+  CAST(COALESCE(ABS((y - m) / (s + 1e-6)) <= 3, false) AND has_label = 1 AS INTEGER) AS is_valid,
+  CAST(CAST(lt AS DATE) IN {HOLIDAYS} AND CAST(CAST(lt AS DATE) AS TIMESTAMP) >= first_lt AS INTEGER) AS is_holiday
+FROM rep r JOIN st ON st.zone = r.zone AND st.mo = month(r.lt) AND st.hr = r.hr JOIN fl ON fl.zone = r.zone""")
+def clean_full(spark, d):
+    """Label flag, repair, calendar and validity in one plan."""
+    out = Q.clean(tail_unlabelled(spark, d), "clock")
+    return keyed(out, "has_label", F.coalesce(rnd("load", 6), F.lit(-1.0)).alias("load"), "is_valid", "is_holiday")
+
+
 @query("clean_gaps", "WITH " + SPARSE + f"""
 SELECT zone, {TS}, ROUND(step, 6) AS step_hours FROM (
   SELECT zone, ts_utc, CAST(p - LAG(p) OVER (PARTITION BY zone ORDER BY p) AS DOUBLE) AS step FROM sparse) WHERE step <> 1""")
@@ -247,17 +275,6 @@ def align_full(spark, d):
 
 # ---- calendar ------------------------------------------------------------------------------
 
-HOLIDAYS = "(" + ", ".join(f"DATE '{x}'" for x in """
-1995-01-02 1995-01-16 1995-02-20 1995-05-29 1995-07-04 1995-09-04 1995-10-09 1995-11-10 1995-11-23 1995-12-25
-1996-01-01 1996-01-15 1996-02-19 1996-05-27 1996-07-04 1996-09-02 1996-10-14 1996-11-11 1996-11-28 1996-12-25
-1997-01-01 1997-01-20 1997-02-17 1997-05-26 1997-07-04 1997-09-01 1997-10-13 1997-11-11 1997-11-27 1997-12-25
-1998-01-01 1998-01-19 1998-02-16 1998-05-25 1998-07-03 1998-09-07 1998-10-12 1998-11-11 1998-11-26 1998-12-25
-1999-01-01 1999-01-18 1999-02-15 1999-05-31 1999-07-05 1999-09-06 1999-10-11 1999-11-11 1999-11-25 1999-12-24 1999-12-31
-2000-01-17 2000-02-21 2000-05-29 2000-07-04 2000-09-04 2000-10-09 2000-11-10 2000-11-23 2000-12-25
-2001-01-01 2001-01-15 2001-02-19 2001-05-28 2001-07-04 2001-09-03 2001-10-08 2001-11-12 2001-11-22 2001-12-25
-2024-01-01 2024-10-14 2024-11-11 2024-11-28""".split()) + ")"
-
-
 @query("cal_holiday", f"""
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(CAST(o_orderdate AS DATE) IN {HOLIDAYS} AS INTEGER) AS is_holiday,
   COUNT(*) AS n_orders FROM orders GROUP BY 1, 2""")

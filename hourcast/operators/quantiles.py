@@ -51,17 +51,19 @@ def quantiles(df: DataFrame, by: Sequence[str], col: str | Column, probs: Sequen
     return picked.select(*by, F.expr(f"array({', '.join(values)})").alias(out))
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], col: str,
-                sums: dict[str, Column] | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, by: Sequence[str], col: str, sums: dict[str, Column] | None = None,
+                rows: Column | None = None) -> DataFrame:
     """One row per (group, distinct value): ``n`` rows, ``first_rank`` (0-based), ``total`` rows of
     the group, ``lowest_n`` rows of its lowest value, and aggregates ``sums`` over the rows of the
     value.
 
-    Enough to place every value among the group's quantiles without computing one (``bin_of_rank``,
-    ``at_or_above``), so rows are reduced once and never joined back to a quantile table.
+    ``rows`` is the aggregate that counts rows, where ``df`` is counted already. Enough to place every
+    value among the group's quantiles without computing one (``bin_of_rank``, ``at_or_above``), so rows
+    are reduced once and never joined back to a quantile table.
     """
     by = list(by)
-    aggs = [F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (sums or {}).items()]]
+    n = F.count(F.lit(1)) if rows is None else rows
+    aggs = [n.alias("n"), *[c.alias(k) for k, c in (sums or {}).items()]]
     values = (df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("value"))
               .agg(*aggs).withColumn("_cell", cell_of(F.col("value"))))
     before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
@@ -105,11 +107,11 @@ def group_ranks(df: DataFrame, by: Sequence[str], col: str, tie: str,
     tagged = (df.where(F.col(col).isNotNull())
               .withColumns({"value": F.col(col).cast("double"), "_block": block}))
     earlier = W.partitionBy(*by, "value").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (tagged.groupBy(*by, "value", "_block").agg(F.count(F.lit(1)).alias("_k"))
-              .withColumn("_skip", F.coalesce(F.sum("_k").over(earlier), F.lit(0))).drop("_k"))
-    ranks = value_ranks(tagged.select(*by, "value"), by, "value").select(
+    counts = tagged.groupBy(*by, "value", "_block").agg(F.count(F.lit(1)).alias("_k"))
+    skips = counts.withColumn("_skip", F.coalesce(F.sum("_k").over(earlier), F.lit(0))).drop("_k")
+    ranks = value_ranks(counts, by, "value", rows=F.sum("_k")).select(
         *by, "value", "first_rank", F.col("total").alias(size))
-    place = blocks.join(ranks, [*by, "value"])
+    place = skips.join(ranks, [*by, "value"])
     inner = W.partitionBy(*by, "value", "_block").orderBy(tie)
     rank = F.col("first_rank") + F.col("_skip") + F.row_number().over(inner)
     return (tagged.join(place, [*by, "value", "_block"]).withColumn(out, rank)
