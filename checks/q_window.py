@@ -10,7 +10,7 @@ from hourcast.operators.quantiles import quantiles
 
 from .q_clean import TS, keyed
 from .registry import query, rnd
-from .views import (CFG, DAILY, ERRORS, HOURLY, SPARSE, daily, errors, hourly, hourly_sparse, r6, ts_text)
+from .views import (DAILY, ERRORS, HOURLY, SPARSE, daily, errors, hourly, hourly_sparse, r6, ts_text)
 
 PHYSICS = """,
 ph AS (SELECT *, GREATEST(0, t - 65) AS cdd, GREATEST(0, 65 - t) AS hdd,
