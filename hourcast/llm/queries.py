@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
-from . import token_counts, token_files, url_rules
+from . import language, mixing, token_counts, token_files, url_rules, warc
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
+    records = warc.read_archives(spark, files, payloads=False)
+    return records.select(
+        F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"), "target_uri", F.col("valid").alias("digests_valid"))
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
@@ -65,3 +74,21 @@ ORACLES["op4_url_rules"] = _op4_sql()
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+@query
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def held_out(key: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()), public_tokenizers.path(PIECES))
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
+    return language.predict(rows, model).drop("text")
