@@ -28,7 +28,7 @@ from .common import Words, text_batches
 
 # Between Latin-1 letters and one last full stop or comma the tokenizer cuts anyway, and it lower-cases.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-CACHE = 1_200_000
+CACHE = 350_000
 ORC_OPTIONS = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id",
                "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
@@ -41,10 +41,11 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of words; ``flat[start[i]:start[i] + size[i]]`` are those of the i-th word asked for."""
+    """Ids of words, of which the recently used are remembered (two generations: a full one becomes the old one,
+    and words found there move up); ``flat[start[i]:start[i] + size[i]]`` are those of the i-th word asked for."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.ids = _tokenizer(path), {"": b""}
+        self.tokenizer, self.ids, self.old = _tokenizer(path), {"": b""}, {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
 
@@ -74,8 +75,11 @@ class WordEncoder:
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.ids) > CACHE:
-            self.ids = {"": b""}
+            self.old, self.ids = self.ids, {"": b""}
         new = set(words).difference(self.ids)
+        if self.old:
+            self.ids.update({w: v for w in new if (v := self.old.get(w)) is not None})
+            new.difference_update(self.ids)
         self._learn(new)
         found = [self.ids[w] for w in words]
         for w in [w for w in new if len(w) > 64]:
@@ -96,11 +100,17 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends[last]])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One for a worker process, which serves one task after another."""
+    return WordEncoder(path)
+
+
 def encode_documents(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id",
                      text: str = "text") -> DataFrame:
     """``doc_id`` and ``token_ids`` of every row, in the order of the rows."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for part, words in text_batches(it):
             ids, offsets = encoder.encode(words, end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(ids.astype("int32")))
