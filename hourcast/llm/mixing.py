@@ -82,7 +82,7 @@ def _same(a: DataFrame, b: DataFrame, *cols: str):
     return cond
 
 
-def plan_mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, block: int = 64,
+def plan_mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, block: int = 16,
              docs_per_shard: int = 4000, seed: int = 0, key: str = "doc_id", text: str = "text",
              source: str = "source") -> DataFrame:
     """One row a document: ``doc_id, source, size, text_hash, source_size, target, passes, lo1, hi1, lo2, hi2,
