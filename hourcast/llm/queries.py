@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
-from . import language, mixing, set_sketch, token_counts, token_files, url_rules, warc
+from . import decontaminate, language, mixing, set_sketch, token_counts, token_files, url_rules, warc
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_to").cast("bigint").alias("refers_to"), "target_uri", F.col("valid").alias("digests_valid"))
 
 
+@query
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
