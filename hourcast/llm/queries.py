@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
-from . import decontaminate, language, mixing, nn_descent, set_sketch, token_counts, token_files, url_rules, warc
+from . import decontaminate, language, mixing, nn_descent, set_sketch, site_tree, token_counts, token_files, url_rules, warc
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model).drop("text")
 
 
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return site_tree.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0)
