@@ -5,8 +5,8 @@ smoothed). A word's probability under a language is the sum over all ways to cut
 forward pass along the trie of the words computes: every prefix once, for all languages together, in logs.
 A text's score is the posterior of its best language under equal priors.
 
-Bound on the fit: ``per_language`` labelled documents of each language, those with the smallest hash; each is
-read whole. Prediction reads every text whole and knows neither label, source nor id.
+Bound on the fit: about ``per_language`` different labelled texts of each language, chosen by hash; each is read
+whole. Prediction reads every text whole and knows neither label, source nor id.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when nothing
 was learned. Equal scores go to the language first by code point. Repeated rows are judged alike.
@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import Words, text_batches
 
@@ -110,14 +110,13 @@ def vocabulary(path: str) -> tuple[object, list[str]]:
     return model, [None if s else model.id_to_piece(i) for i, s in enumerate(skip)]
 
 
-def sample_rows(df: DataFrame, label: str, key: Column, per_label: int) -> DataFrame:
-    """The rows of each label with the smallest hashes of ``key``. Only hashes are ranked; the rank is pruned
-    before its shuffle."""
-    hashed = df.withColumn("_hash", F.xxhash64(key))
-    ranked = hashed.select(label, "_hash").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(label).orderBy("_hash"))).where(F.col("_rank") <= per_label)
-    last = ranked.groupBy(label).agg(F.max("_hash").alias("_last"))
-    return hashed.join(F.broadcast(last), label).where("_hash <= _last").drop("_hash", "_last")
+def sample_rows(df: DataFrame, label: str, text: str, per_label: int) -> DataFrame:
+    """About ``per_label`` different texts of each label: those whose hash lies below the label's share. Labels are
+    counted, nothing is ranked, so a label with most rows is no burden."""
+    counts = df.groupBy(label).agg(F.least(F.lit(1.0), per_label / F.count("*")).alias("_share"))
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(text), F.lit(1 << 31)))
+    return (hashed.join(counts, label).where(F.col("_hash") < F.col("_share") * (1 << 31))
+            .select(label, text).dropDuplicates())
 
 
 def fit(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", per_language: int = 1500,
@@ -125,7 +124,7 @@ def fit(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", per_l
     """Learn from rows with a text and a label. What reaches the driver is one count for each piece seen of each
     language, bounded by the sample."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = sample_rows(rows, "lang", F.col("text"), per_language)
+    rows = sample_rows(rows, "lang", "text", per_language)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = vocabulary(vocab)
