@@ -24,8 +24,8 @@ LEAST_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, public_tokenizers.path(PIECES))
-    judged = language.predict(docs, model)
-    return judged.where((judged["lang_pred"] != language.UND) & (judged["score"] >= LEAST_SCORE)).select(*docs.columns)
+    judged = language.predict(docs, model, names=("__lang", "__likely"))
+    return judged.where((judged["__lang"] != language.UND) & (judged["__likely"] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,16 +155,16 @@ def fit(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", per_l
     return LanguageModel(list(languages), np.log(total / total.sum(axis=0)) if languages else total, pieces)
 
 
-def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to every row; no shuffle."""
+def predict(df: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the columns ``names`` (best language, its posterior) to every row, in place of any so called; no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in text_batches(it, text):
-            names, scores = shared.value.predict(words)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)],
-                                             [*part.schema.names, "lang_pred", "score"])
+            best, scores = shared.value.predict(words)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(scores)],
+                                             [*part.schema.names, *names])
 
-    kept = df.drop("lang_pred", "score")
+    kept = df.drop(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")

@@ -122,19 +122,21 @@ def plan_mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3,
     inside = (Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size", "text_hash")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = F.sum("size").over(inside) - F.col("size")
-    n = F.greatest(F.col("n_blocks"), F.lit(1))
-    first = F.pmod(F.xxhash64("source", "shard", F.lit(seed)), n)
-    extra = F.pmod(F.col("quota"), n)
+    whole = F.greatest(F.col("shard_size"), F.lit(1))
+    words = F.least(F.col("quota") * block, cap * F.col("shard_size"))
+    first = F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.greatest(F.col("n_blocks"), F.lit(1))) * block
     size, zero = F.col("size"), F.lit(0).cast("bigint")
 
     def within(lo, hi):  # the part of the run from word lo to word hi that lies in the document
         a = F.least(F.greatest(lo - F.col("at"), zero), size)
         return a, F.greatest(F.least(hi - F.col("at"), size), a)
 
-    lo1, hi1 = within(F.col("first") * block, (F.col("first") + F.col("extra")) * block)
-    lo2, hi2 = within(zero, (F.col("first") + F.col("extra") - F.col("n")) * block)
-    rows = rows.withColumns({"at": at, "first": first, "extra": extra, "n": n}).withColumns({
-        "passes": F.floor(F.col("quota") / F.col("n")), "lo1": lo1, "hi1": hi1, "lo2": lo2, "hi2": hi2})
+    # The run begins at a block's edge and goes on from the shard's first word after its last.
+    lo1, hi1 = within(F.col("first"), F.col("first") + F.col("extra"))
+    lo2, hi2 = within(zero, F.col("first") + F.col("extra") - F.col("whole"))
+    rows = rows.withColumns({"at": at, "first": first, "whole": whole, "words": words}).withColumns({
+        "passes": F.floor(F.col("words") / F.col("whole")), "extra": F.pmod(F.col("words"), F.col("whole"))})
+    rows = rows.withColumns({"lo1": lo1, "hi1": hi1, "lo2": lo2, "hi2": hi2})
     taken = (F.col("passes") * size + F.col("hi1") - F.col("lo1") + F.col("hi2") - F.col("lo2")).cast("bigint")
     return rows.select("doc_id", "source", "size", "text_hash", "source_size", "target", "passes", "lo1", "hi1", "lo2",
                        "hi2", taken.alias("taken"))
@@ -149,15 +151,15 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
                     F.struct(F.col("lo2").alias("lo"), F.col("hi2").alias("hi")))
     whole = F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("size").alias("hi")),
                            F.col("passes").cast("int"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"),
-                       F.col("size").alias("_size"),
-                       F.explode(F.concat(whole, F.filter(piece, lambda p: p["hi"] > p["lo"]))).alias("_part"))
-    docs = df.withColumn("_key", F.xxhash64(text)).dropDuplicates([key, source, "_key"])
-    out = docs.join(plan, docs[key].eqNullSafe(plan["_id"]) & docs[source].eqNullSafe(plan["_source"])
-                    & (docs["_key"] == plan["_hash"]))
+    plan = plan.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("text_hash").alias("__mix_hash"),
+                       F.col("size").alias("__mix_size"),
+                       F.explode(F.concat(whole, F.filter(piece, lambda p: p["hi"] > p["lo"]))).alias("__mix_part"))
+    docs = df.withColumn("__mix_key", F.xxhash64(text)).dropDuplicates([key, source, "__mix_key"])
+    out = docs.join(plan, docs[key].eqNullSafe(plan["__mix_id"]) & docs[source].eqNullSafe(plan["__mix_source"])
+                    & (docs["__mix_key"] == plan["__mix_hash"]))
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
-                               (F.col("_part.lo") + 1).cast("int"), (F.col("_part.hi") - F.col("_part.lo")).cast("int")), " ")
-    is_whole = F.col("_part.hi") - F.col("_part.lo") == F.col("_size")
+                               (F.col("__mix_part.lo") + 1).cast("int"), (F.col("__mix_part.hi") - F.col("__mix_part.lo")).cast("int")), " ")
+    is_whole = F.col("__mix_part.hi") - F.col("__mix_part.lo") == F.col("__mix_size")
     out = out.withColumn(text, F.when(is_whole, F.col(text)).otherwise(cut))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(is_whole, F.col("n_chars")).otherwise(F.char_length(text)))

@@ -237,8 +237,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stay: one document of each group, and of rows that share its id one."""
     found = staged(near_duplicates(df, key, text, **options), "sketch-found")
-    keep = found.where("kept").select("node").distinct()
-    out = df.withColumn("node", _node(key, text)).join(keep, "node", "left_semi")
+    keep = found.where("kept").select(F.col("node").alias("__node")).distinct()
+    out = df.withColumn("__node", _node(key, text)).join(keep, "__node", "left_semi")
     if found.groupBy("node").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["node"])
+        out = out.dropDuplicates(["__node"])
     return out.select(*df.columns)

@@ -242,10 +242,10 @@ def extract_main_text(df: DataFrame, url: str = "url", page: str = "html", thres
                       min_share: float = 0.01) -> DataFrame:
     """Adds ``text`` and ``n_chars`` to every row."""
     host = F.when(host_of(F.col(url)) != "", F.xxhash64(host_of(F.col(url))))
-    rows = df.drop("text", "n_chars").withColumn("_host", host)
+    rows = df.drop("text", "n_chars").withColumn("__host", host)
     # Written, so that its size is known when the pages are joined: small ones are broadcast, large ones are not.
-    low = staged(low_nodes(rows.where("_host is not null").select("_host", page), threshold, min_pages, min_share), "site-low")
-    rows = rows.join(low.withColumnRenamed("host", "_host"), "_host", "left")
+    low = staged(low_nodes(rows.where("__host is not null").select("__host", page), threshold, min_pages, min_share), "site-low")
+    rows = rows.join(low.toDF("__host", "__low"), "__host", "left")
     at = {c: i for i, c in enumerate(df.drop("text", "n_chars").columns)}
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +257,6 @@ def extract_main_text(df: DataFrame, url: str = "url", page: str = "html", thres
                 [*keep, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 [*batch.schema.names[:-1], "text", "n_chars"])
 
-    kept = rows.select(*at, "low")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "low")
+    kept = rows.select(*at, "__low")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__low")
     return kept.mapInArrow(cut, f"{fields}, text string, n_chars bigint")
