@@ -323,6 +323,21 @@ def sample_statuses(spark, d):
     return out.groupBy("zone", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("sample_statuses_sparse", "WITH " + HOURLY.replace("hourly AS (", "whole AS (", 1) + """,
+hourly AS (SELECT * FROM whole WHERE h % 211 >= 5)""" + index_sql() + TARGETS + """,
+wn AS (SELECT i.zone, i.target_day, COUNT(*) AS n FROM idx i JOIN hourly h ON h.zone = i.zone AND h.p < i.cutoff AND h.p >= i.cutoff - 72 GROUP BY 1, 2),
+x AS (SELECT i.zone, CASE WHEN i.status <> 'ok' THEN i.status WHEN COALESCE(wn.n, 0) < 72 THEN 'nan_lookback'
+    WHEN t.d IS NULL THEN 'bad_target' ELSE 'ok' END AS status
+  FROM idx_all i LEFT JOIN wn USING (zone, target_day)
+  LEFT JOIN (SELECT DISTINCT zone, d FROM tgt) t ON t.zone = i.zone AND t.d = i.target_day)
+SELECT zone, status, COUNT(*) AS n FROM x GROUP BY ALL""")
+def sample_statuses_sparse(spark, d):
+    """Five hours are missing now and then: by the clock, a window over such a hole is no window."""
+    h = cleaned(spark, d).where("h % 211 >= 5")
+    refs = S.fit_thermal_refs(h, CFG.test_frac, position="clock")
+    return S.assemble(h, None, CFG, refs).groupBy("zone", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sample_sequence_scaled", "WITH " + FORECAST + index_sql() + ARRAYS + TARGETS + f""",
 sq AS (SELECT *, SUM(GREATEST(0, t - 65)) OVER (PARTITION BY zone ORDER BY ts_utc ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS cum FROM hourly),
 tn AS (SELECT zone, MIN(p) + CAST(floor(COUNT(*) * 0.8) AS BIGINT) AS cut FROM hourly GROUP BY 1),

@@ -441,6 +441,21 @@ def io_refresh_years(spark, d):
     return TB.read_table(spark, path).groupBy("zone", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
 
 
+@query("io_refresh_zone", """
+SELECT o_orderpriority AS zone, year(o_orderdate) AS year, COUNT(*) AS n,
+  CAST(SUM(CAST(ROUND(o_totalprice*100) AS BIGINT) * CASE WHEN year(o_orderdate) >= 1997 AND o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END)
+    AS BIGINT) AS cents FROM orders GROUP BY 1, 2""")
+def io_refresh_zone(spark, d):
+    """All zones written, then the later years of one zone overwritten; the other zones stay."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("zone"), F.col("o_orderdate").alias("ts_utc"),
+                                         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    path = scratch_dir(spark, "zones")
+    TB.refresh_years(o, path, TB.years_to_refresh([], 2001, 1992, 2001, skip_existing=False))
+    one = o.where("zone = '1-URGENT'").withColumn("cents", F.col("cents") * 2)
+    TB.refresh_years(one, path, TB.years_to_refresh([1997, 1998, 1999, 2000], 2001, 1992, 2001))
+    return TB.read_table(spark, path).groupBy("zone", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+
+
 @query("io_recent", "WITH " + HOURLY + f""",
 mx AS (SELECT zone, MAX(ts_utc) AS m FROM hourly GROUP BY 1)
 SELECT zone, {TS}, ROUND(load, 6) AS load FROM hourly JOIN mx USING (zone) WHERE ts_utc > m - INTERVAL 5 DAY""")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import day_hours, local_of, local_status, utc_of
+from ..session import require_utc
 from ..sources.tables import stage
 from .chunks import keep_first
 from .quality import add_calendar, fill_forward_back
@@ -16,12 +17,15 @@ def to_utc(df: DataFrame, col: str, tz: str, keys: Sequence[str] = ("zone",),
     """Wall-clock column -> ``ts_utc``; hours the clock skips or repeats are dropped.
 
     ``on_ambiguous='earliest'`` keeps a repeated hour as its first instant instead. Duplicates of
-    one instant keep the first by ``order``.
+    one instant keep the first by ``order``, then by all other columns, so the survivor does not
+    depend on the order of the rows.
     """
+    require_utc(df.sparkSession)
     status = local_status(F.col(col), tz)
     keep = status == "ok" if on_ambiguous == "drop" else status != "nonexistent"
     out = df.where(keep).withColumn("ts_utc", utc_of(F.col(col), tz))
-    return keep_first(out, [*keys, "ts_utc"], order or [col])
+    ties = [c for c in df.columns if c not in keys]
+    return keep_first(out, [*keys, "ts_utc"], [*(order or [col]), *ties])
 
 
 def to_local(df: DataFrame, tz: str, col: str = "ts_utc", out: str = "ts_local") -> DataFrame:
@@ -72,7 +76,7 @@ def extend_future(df: DataFrame, days: int, tz: str) -> DataFrame:
     """Append calendar-only rows for the ``days`` local days after each zone's last complete one;
     hours already present win. Load and weather of the new rows are null."""
     from .quality import complete_days
-    last = complete_days(df).groupBy("zone").agg(F.max("local_date").alias("_last"))
+    last = complete_days(df, tz).groupBy("zone").agg(F.max("local_date").alias("_last"))
     ahead = last.select("zone", F.explode(F.sequence(F.date_add("_last", 1),
                                                      F.date_add("_last", days))).alias("target_day"))
     rows = local_day_hours(ahead, tz).select("zone", "ts_utc", "ts_local")

@@ -35,9 +35,9 @@ def season_of(month: Column, seasons: dict = SEASON_MONTHS) -> Column:
 
 
 def add_regime(df: DataFrame, local: str = "ts_local", day: str | None = None,
-               hour: str = "hour") -> DataFrame:
+               hour: str = "hour", seasons: dict = SEASON_MONTHS, experts: dict = EXPERT_HOURS) -> DataFrame:
     """Tag rows with (season, expert), by wall clock or by (target day, hour slot)."""
-    table = regime_map(df.sparkSession)
+    table = regime_map(df.sparkSession, seasons, experts)
     month = F.month(day) if day else F.month(local)
     slot = F.col(hour) if day else F.hour(local)
     keyed = df.withColumns({"_m": month, "_h": slot})

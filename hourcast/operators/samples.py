@@ -5,6 +5,7 @@ lookback join and the aggregation per sample all use that partitioning.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -429,7 +430,8 @@ def assemble(df: DataFrame, fc: DataFrame | None, cfg: SampleConfig, refs: Therm
     joined = lookback_join(rows.withColumns(row_cols), usable, hours, cfg.position,
                            window_cols | _macro_windows(cfg.week),
                            reach=0 if hours >= cfg.lookback + THERMAL_REACH else THERMAL_REACH)
-    aggs = {"seq": _sequence_agg(cfg.seq_cols, cfg.lookback)}
+    need = max(cfg.lookback, cfg.history)
+    aggs = {"seq": _sequence_agg(cfg.seq_cols, cfg.lookback), "_span": F.count_if(F.col("off") <= need)}
     aggs |= _macro_aggs(cfg.week) | _thermal_aggs()
     if fc is not None:
         aggs |= _reference_aggs(cfg.lookback, cfg.base_temp)
@@ -441,7 +443,9 @@ def assemble(df: DataFrame, fc: DataFrame | None, cfg: SampleConfig, refs: Therm
                             _forecast_array(cfg.lookback, cfg.base_temp)).alias("fc"))
     else:
         block.append(F.array().cast("array<double>").alias("fc"))
-    feats = feats.select(*SAMPLE_KEYS, "seq", *block)
+    # A hole in the hours leaves fewer rows by the clock: such a window is no window.
+    full = (F.size("seq") == cfg.lookback) & (F.col("_span") == need)
+    feats = feats.select(*SAMPLE_KEYS, F.when(full, F.col("seq")).alias("seq"), *block)
 
     first = F.min_by(F.struct(*_CALENDAR_FIELDS), "pos")
     days = rows.groupBy("zone", F.to_date("ts_local").alias("target_day")).agg(
@@ -463,20 +467,26 @@ def build_samples(df: DataFrame, fc: DataFrame | None = None, cfg: SampleConfig
                   refs: ThermalRefs | None = None) -> DataFrame:
     """Training samples: references fitted on the train rows unless given; unusable days dropped.
 
-    A null inside the lookback does not drop a training sample.
+    A null inside the lookback does not drop a training sample; a window with missing rows does. A
+    forecast archive that lacks a (lead, hour) cell on every date raises.
     """
+    if fc is not None:
+        gone = missing_forecast_cells(fc).collect()  # 48 at most
+        if gone:
+            raise ValueError(f"no forecast has the cells {[tuple(r) for r in gone]}")
     refs = refs or fit_thermal_refs(df, cfg.test_frac, position=cfg.position)
     full = assemble(df, fc, cfg, refs)
     usable = (F.col("status") == "ok") | ((F.col("status") == "nan_lookback")
-                                          & F.col("y").isNotNull() & F.col("fc").isNotNull())
+                                          & F.col("seq").isNotNull() & F.col("y").isNotNull()
+                                          & F.col("fc").isNotNull())
     return full.where(usable)
 
 
 def serving_samples(df: DataFrame, targets: DataFrame, fc: DataFrame | None, refs: ThermalRefs,
-                    cfg: SampleConfig = SampleConfig()) -> DataFrame:
+                    cfg: SampleConfig = SampleConfig(position="rank")) -> DataFrame:
     """Samples for ``targets`` (zone, target_day) from a short window with frozen references.
 
-    A target that cannot be forecast keeps its row with the reason in ``status``.
+    Positions are ranks by default, since the recent hours have passed no gate against holes. A target that cannot be forecast keeps its row with the reason in ``status``.
     """
     served = assemble(df, fc, cfg, refs).join(targets, SAMPLE_KEYS, "right")
     status = F.coalesce(F.when(F.col("status") == "bad_target", "ok").otherwise(F.col("status")),
@@ -484,13 +494,16 @@ def serving_samples(df: DataFrame, targets: DataFrame, fc: DataFrame | None, ref
     return served.withColumn("status", status)
 
 
-def materialize(samples: DataFrame, path: str, version: str) -> DataFrame:
-    """Write samples under ``path/version=<v>`` once and read them back; a new input version is a
-    new folder, so an old cache is never read for new data."""
+def materialize(samples: DataFrame, path: str, version: str, cfg: SampleConfig = SampleConfig()) -> DataFrame:
+    """Write samples once and read them back. The folder is named by the input's version and by every
+    setting and column the samples depend on, so an old cache is never read for other ones; it counts
+    only with the mark that is written after the data."""
     spark = samples.sparkSession
-    target = f"{path}/version={version}"
+    key = hashlib.sha256(repr((cfg, samples.schema.simpleString())).encode()).hexdigest()[:16]
+    target = f"{path}/version={version}/config={key}"
     try:
-        return spark.read.parquet(target)
+        spark.read.parquet(f"{target}/complete").first()
     except AnalysisException:
-        samples.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+        samples.write.mode("overwrite").parquet(f"{target}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{target}/complete")
+    return spark.read.parquet(f"{target}/rows")

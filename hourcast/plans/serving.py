@@ -12,9 +12,10 @@ from ..operators.store import freeze_merge
 from ..schema import SampleConfig
 
 
-def daily_targets(df: DataFrame, window: int = 8, horizon: int = 2) -> DataFrame:
-    """(zone, target_day): the last ``window`` complete days and the ``horizon`` days after them."""
-    days = complete_days(df).select("zone", F.col("local_date").alias("target_day"))
+def daily_targets(df: DataFrame, window: int = 8, horizon: int = 2, tz: str | None = None) -> DataFrame:
+    """(zone, target_day): the last ``window`` complete days and the ``horizon`` days after them. With ``tz``
+    a complete day holds all its 23, 24 or 25 hours."""
+    days = complete_days(df, tz).select("zone", F.col("local_date").alias("target_day"))
     w = W.partitionBy("zone").orderBy(F.desc("target_day"))
     past = days.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= window).drop("_r")
     last = days.groupBy("zone").agg(F.max("target_day").alias("_last"))
@@ -28,20 +29,20 @@ def apply_models(samples: DataFrame, models: Mapping[str, Callable[[DataFrame],
     usable = samples.where(F.col("status") == "ok")
     parts = [fn(usable).select("zone", "target_day", F.lit(name).alias("model"), "yhat")
              for name, fn in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
+    out = samples.sparkSession.createDataFrame([], "zone string, target_day date, model string, yhat array<double>")
+    for p in parts:
         out = out.unionByName(p)
     return out
 
 
 def roll(frame: DataFrame, metered: DataFrame, fc: DataFrame | None, refs: ThermalRefs,
          models: Mapping[str, Callable[[DataFrame], DataFrame]], store: DataFrame | None = None,
-         cfg: SampleConfig = SampleConfig(), window: int = 8, horizon: int = 2,
+         cfg: SampleConfig = SampleConfig(position="rank"), window: int = 8, horizon: int = 2,
          keep_days: int | None = 10) -> DataFrame:
     """One run for all zones at once. A target that cannot be built is simply absent; its reason is
     in ``serving_samples``. Returns the merged wide store."""
     extended = extend_future(frame, horizon, cfg.tz)
-    targets = daily_targets(frame, window, horizon)
+    targets = daily_targets(frame, window, horizon, cfg.tz)
     samples = serving_samples(extended, targets, fc, refs, cfg)
     hours = expand_to_real_hours(apply_models(samples, models), cfg.tz)
     wide = hours.groupBy("zone", "ts_utc").agg(

@@ -33,3 +33,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/hourcast-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def require_utc(spark: SparkSession) -> None:
+    """The clock functions read timestamps in the session's zone and are right in UTC only."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}; set it to UTC")

@@ -17,8 +17,11 @@ def years_to_refresh(update: Sequence[int], current: int, start: int, end: int,
 
 
 def refresh_years(df: DataFrame, path: str, years: Sequence[int], ts: str = "ts_utc",
-                  partition: Sequence[str] = ("year",)) -> None:
-    """Overwrite only the (year) partitions of ``years``; the others stay as they are."""
+                  partition: Sequence[str] = ("zone", "year")) -> None:
+    """Overwrite only the (zone, year) partitions of ``df`` in ``years``; other years and the zones that are
+    not in ``df`` stay as they are."""
+    if "year" not in partition:
+        raise ValueError("the year must be a partition column")
     rows = df.withColumn("year", F.year(ts)).where(F.col("year").isin(*years))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition).parquet(path))

@@ -21,8 +21,11 @@ def hourly_load(feed: DataFrame, value: str | Column, zone: str = "zone", ts: st
     return hours.select(F.col(zone).alias("zone"), F.col("window.start").alias("ts_utc"), "total", "n")
 
 
-def first_written(preds: DataFrame, ts: str = "issued_at", lateness: str = "2 days") -> DataFrame:
-    """Streaming freeze: the first prediction per (zone, ts_utc, model) within the watermark."""
+def first_written(preds: DataFrame, ts: str = "issued_at", lateness: str = "21 days") -> DataFrame:
+    """Streaming freeze: the first prediction per (zone, ts_utc, model) within the watermark.
+
+    A key must stay in state for as long as it is issued anew: the daily roll's window (8), horizon (2) and
+    kept days (10), and one more."""
     return preds.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["zone", "ts_utc", "model"])
 
 
