@@ -264,13 +264,14 @@ w AS (SELECT zone, u AS ts_utc, t FROM wok WHERE exist AND NOT twice),
 cut AS (SELECT l.zone, l.ts_utc, l.load, l.load_est, w.t AS x,
   ROW_NUMBER() OVER (PARTITION BY l.zone ORDER BY l.ts_utc) AS k
   FROM loads l LEFT JOIN w ON w.zone = l.zone AND w.ts_utc = l.ts_utc)""" + LINE + f"""
-SELECT zone, {TS}, COALESCE(ROUND(load, 6), -1.0) AS load, COALESCE(ROUND(load_est, 6), -1.0) AS load_est,
+SELECT zone, {TS}, strftime(timezone('{TZ}', timezone('UTC', ts_utc)), '%Y-%m-%d %H:%M:%S') AS ts_local,
+  COALESCE(ROUND(load, 6), -1.0) AS load, COALESCE(ROUND(load_est, 6), -1.0) AS load_est,
   ROUND(COALESCE(x0, x1), 6) AS temp FROM line""")
 def align_full(spark, d):
     """Loads outer-joined, local weather brought to UTC and left-joined, gaps filled."""
     out = A.align(*_loads(spark, d), _wall(spark, d).drop("h"), TZ, staged=True)
-    return keyed(out, *[F.coalesce(rnd(c, 6), F.lit(-1.0)).alias(c) for c in ("load", "load_est")],
-                 r6("Temp_F", "temp"))
+    return keyed(out, ts_text("ts_local").alias("ts_local"),
+                 *[F.coalesce(rnd(c, 6), F.lit(-1.0)).alias(c) for c in ("load", "load_est")], r6("Temp_F", "temp"))
 
 
 # ---- calendar ------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourcast.operators import diagnostics as D, samples as S
+from hourcast.schema import CALENDAR_NAMES
 from hourcast.sources.forecasts import clean_forecast
 
 from .q_sample import CALENDAR, DAY, day, usable
@@ -18,7 +19,8 @@ fv AS (SELECT zone, target_day, unnest(['load_est', 'temp_f']) AS name, unnest([
   UNION ALL SELECT i.zone, i.target_day, unnest(['tmrw_month_sin', 'tmrw_month_cos', 'tmrw_dow_sin', 'tmrw_dow_cos', 'tmrw_is_weekend', 'tmrw_is_holiday']),
     unnest(c.v) FROM idx i JOIN cal c ON c.zone = i.zone AND c.d = i.target_day),
 tv AS (SELECT zone, d AS target_day, AVG(y) AS load, MAX(CASE WHEN slot = 15 THEN y END) AS load15 FROM tgt GROUP BY 1, 2),
-xy AS (SELECT * FROM fv JOIN tv USING (zone, target_day))"""
+live AS (SELECT zone, name FROM fv JOIN tv USING (zone, target_day) GROUP BY 1, 2 HAVING MIN(value) <> MAX(value)),
+xy AS (SELECT * FROM fv JOIN tv USING (zone, target_day) JOIN live USING (zone, name))"""
 
 
 def light(spark, d):
@@ -43,11 +45,12 @@ def tidy(df, digits=4):
 
 _REL = """SELECT {by}, name, COALESCE(ROUND(corr({x}, {y}), 4) + 0.0, -9.0) AS r,
   COALESCE(ROUND(regr_slope({y}, {x}), 4) + 0.0, -9.0) AS slope, COALESCE(ROUND(regr_intercept({y}, {x}), 4) + 0.0, -9.0) AS intercept, COUNT(*) AS n
-FROM xy WHERE name IN ('load_est', 'temp_f') GROUP BY ALL"""
+FROM xy GROUP BY ALL"""
 
 
-def _windowed(values):
-    return values.where(F.col("name").isin("load_est", "temp_f"))
+def _live(values):
+    """Without the features of a zone that never vary: they have no correlation, only rounding noise."""
+    return values.join(D.dead_features(values).select("zone", "name"), ["zone", "name"], "left_anti")
 
 
 @query("diag_feature_values", "WITH " + VALUES + f"SELECT zone, {DAY}, name, ROUND(value, 5) + 0.0 AS value FROM fv JOIN tv USING (zone, target_day)")
@@ -59,28 +62,28 @@ def diag_feature_values(spark, d):
 @query("diag_relations", "WITH " + VALUES + _REL.format(by="zone", x="value", y="load"))
 def diag_relations(spark, d):
     v, s = _values(spark, d)
-    return tidy(D.feature_relations(_windowed(v), D.target_value(s)))
+    return tidy(D.feature_relations(_live(v), D.target_value(s)))
 
 
 @query("diag_relations_hour", "WITH " + VALUES + _REL.format(by="zone", x="value", y="load15"))
 def diag_relations_hour(spark, d):
     """Against one target hour instead of the daily mean."""
     v, s = _values(spark, d)
-    return tidy(D.feature_relations(_windowed(v), D.target_value(s, 15)))
+    return tidy(D.feature_relations(_live(v), D.target_value(s, 15)))
 
 
 @query("diag_relations_squared", "WITH " + VALUES + _REL.format(by="zone", x="value * value", y="load"))
 def diag_relations_squared(spark, d):
     v, s = _values(spark, d)
-    return tidy(D.feature_relations(_windowed(v), D.target_value(s), power=2))
+    return tidy(D.feature_relations(_live(v), D.target_value(s), power=2))
 
 
 @query("diag_season_relations", "WITH " + VALUES + """
 SELECT zone, 'shoulder' AS season, name, COALESCE(ROUND(corr(value, load), 4) + 0.0, -9.0) AS r, COUNT(*) AS n
-FROM xy WHERE name IN ('load_est', 'temp_f') GROUP BY ALL""")
+FROM xy GROUP BY ALL""")
 def diag_season_relations(spark, d):
     v, s = _values(spark, d)
-    return tidy(D.season_relations(_windowed(v), D.target_value(s)))
+    return tidy(D.season_relations(_live(v), D.target_value(s)))
 
 
 @query("diag_dead_features", "WITH " + VALUES + """
@@ -91,15 +94,18 @@ def diag_dead_features(spark, d):
 
 
 @query("diag_correlation_matrix", "WITH " + VALUES + """,
-w AS (SELECT zone, target_day, name, value FROM fv JOIN tv USING (zone, target_day) UNION ALL SELECT zone, target_day, 'load', load FROM tv
+w AS (SELECT zone, target_day, name, value FROM xy UNION ALL SELECT zone, target_day, 'load', load FROM tv
       WHERE EXISTS (SELECT 1 FROM idx i WHERE i.zone = tv.zone AND i.target_day = tv.target_day))
 SELECT x.zone, x.name AS a, y.name AS b, COALESCE(ROUND(corr(x.value, y.value), 4) + 0.0, -9.0) AS r
-FROM w x JOIN w y USING (zone, target_day)
-WHERE x.name IN ('load_est', 'temp_f', 'load') AND y.name IN ('load_est', 'temp_f', 'load') GROUP BY ALL""")
+FROM w x JOIN w y USING (zone, target_day) GROUP BY ALL""")
 def diag_correlation_matrix(spark, d):
     v, s = _values(spark, d)
     target = D.target_value(s).select("zone", "target_day", F.lit("load").alias("name"), F.col("load").alias("value"))
-    return tidy(D.correlation_matrix(v.unionByName(target), ["load_est", "temp_f", "load"]))
+    names = ["load_est", "temp_f", *CALENDAR_NAMES, "load"]
+    out = D.correlation_matrix(_live(v).unionByName(target), names)
+    # A feature that a zone lacks leaves no row in the twin.
+    return tidy(out.join(D.dead_features(v).select("zone", F.col("name").alias("a")), ["zone", "a"], "left_anti")
+                .join(D.dead_features(v).select("zone", F.col("name").alias("b")), ["zone", "b"], "left_anti"))
 
 
 @query("diag_common_keys", "WITH " + VALUES + f"""

@@ -1,7 +1,7 @@
 """Store, serving, joint, streaming and source queries."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window as W, functions as F, types as T
 
 from hourcast.operators import baseline as B, diagnostics as D, joint as J, metrics as M, samples as S, store as ST
 from hourcast.operators.align import expand_to_real_hours
@@ -130,12 +130,14 @@ def store_pivot(spark, d):
     return keyed(out, r6("m1_pred"), r6("m2_pred"), F.coalesce(rnd("metered", 6), F.lit(-1.0)).alias("metered"))
 
 
-@query("score_by_magnitude", "WITH " + ERRORS + """
-SELECT zone, ROUND(AVG(signed_error), 6) AS me FROM errors GROUP BY 1 ORDER BY ABS(AVG(signed_error)), zone LIMIT 10""")
+@query("score_by_magnitude", "WITH " + ERRORS + """,
+m AS (SELECT zone, ROUND(AVG(signed_error), 6) AS me FROM errors GROUP BY 1)
+SELECT zone, me, ROW_NUMBER() OVER (ORDER BY ABS(me), zone) AS place FROM m""")
 def score_by_magnitude(spark, d):
-    """The ten least biased zones, nearest zero first."""
-    s = M.basic_scores(errors(spark, d))
-    return TB.by_magnitude(s, "me", "zone").limit(10).select("zone", r6("me"))
+    """All zones with their place by bias, nearest zero first."""
+    s = M.basic_scores(errors(spark, d)).select("zone", r6("me"))
+    place = F.row_number().over(W.orderBy(F.abs("me"), "zone"))  # one row a zone
+    return TB.by_magnitude(s, "me", "zone").withColumn("place", place)
 
 
 @query("score_real_hours", "WITH " + ERRORS + f""",
