@@ -53,8 +53,12 @@ class Words:
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Per text the sum of a value (or row of values) that each word of ``vocab`` has."""
-        total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values[self.codes], axis=0)])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        if values.ndim > 1:  # column by column: one number a word is held at a time
+            return np.stack([self.sums(values[:, j]) for j in range(values.shape[1])], axis=1)
+        out, full = np.zeros(len(self.offsets) - 1, values.dtype), np.flatnonzero(np.diff(self.offsets))
+        if len(full):
+            out[full] = np.add.reduceat(values[self.codes], self.offsets[:-1][full])
+        return out
 
 
 def text_batches(it: Iterator[pa.RecordBatch], text: str = "text",

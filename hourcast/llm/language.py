@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Words, text_batches
 
 MARK, UND = "▁", "und"
-CACHE = 600_000
+CACHE = 400_000
+BATCH = 6 << 20  # bytes of text whose words are held at once
 WALK = 40_000  # words whose trie is in memory at once
 FALLBACK = -18.0  # log probability of a character that no piece covers, alike in every language
 
@@ -128,7 +129,7 @@ def fit(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", per_l
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = vocabulary(vocab)
-        for part, words in text_batches(it):
+        for part, words in text_batches(it, size=BATCH):
             ids = model.encode(words.vocab, num_threads=1)
             names = np.array(part.column(part.schema.get_field_index("lang")).to_pylist(), object)
             owner = np.repeat(np.arange(len(names)), np.diff(words.offsets))
@@ -160,7 +161,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", names: tupl
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in text_batches(it, text):
+        for part, words in text_batches(it, text, BATCH):
             best, scores = shared.value.predict(words)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(scores)],
                                              [*part.schema.names, *names])
