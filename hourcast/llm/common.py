@@ -1,7 +1,7 @@
 """Small helpers the operators of this subpackage share."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def worker_memory(key, make: Callable[[], object]):
+    """What a worker process remembers from task to task. It serves one operator at a time, so only the last one's
+    memory is held."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class Words:
     """The words of a batch of texts: ``vocab[codes[offsets[i]:offsets[i + 1]]]`` are those of text i."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, staged, text_batches
+from .common import Words, staged, text_batches, worker_memory
 from .shingles import mix
 
 # Unit words and signs that become a placeholder right after a number.
@@ -68,9 +68,6 @@ class _Tokens:
         return found
 
 
-_tokens = _Tokens()
-
-
 @dataclass
 class Templates:
     """Texts as tokens: offsets of the texts, kinds, the hashes of both templates, and each token's word and place
@@ -92,7 +89,8 @@ class Templates:
 
 
 def templates(words: Words) -> Templates:
-    found = [_tokens.of(w) for w in words.vocab]
+    known = worker_memory("templates", _Tokens)
+    found = [known.of(w) for w in words.vocab]
     size = np.fromiter((len(k) for _, k in found), "int64", len(found))
     start = np.cumsum(size) - size
     sizes = size[words.codes]

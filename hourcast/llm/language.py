@@ -13,6 +13,7 @@ was learned. Equal scores go to the language first by code point. Repeated rows
 """
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, text_batches
+from .common import Words, staged, text_batches, worker_memory
 
 MARK, UND = "▁", "und"
 CACHE = 400_000
@@ -36,8 +37,7 @@ class LanguageModel:
     languages: list[str]
     log_p: np.ndarray
     pieces: dict[str, int]
-    scores: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def _walk(self, words: list[str]) -> np.ndarray:
         """Log probability of each word (sorted, different) under each language."""
@@ -80,16 +80,17 @@ class LanguageModel:
         return forward[np.array(terminals)]
 
     def words(self, vocab: list[str]) -> np.ndarray:
-        if len(self.scores) > CACHE or self.table is None:
-            self.scores, self.table = {}, np.empty((0, len(self.languages)), "float32")
-        new = sorted(set(vocab).difference(self.scores))
-        tables = [self.table]
+        known = worker_memory(("language", self.name), lambda: {"at": {}, "table": np.empty((0, len(self.languages)), "float32")})
+        if len(known["at"]) > CACHE:
+            known["at"], known["table"] = {}, known["table"][:0]
+        new = sorted(set(vocab).difference(known["at"]))
+        tables = [known["table"]]
         for i in range(0, len(new), WALK):
             tables.append(self._walk(new[i:i + WALK]).astype("float32"))
-        at = len(self.table)
-        self.table = np.concatenate(tables)
-        self.scores.update(zip(new, range(at, at + len(new))))
-        return self.table[np.fromiter(map(self.scores.__getitem__, vocab), "int64", len(vocab))].astype("float64")
+        at = len(known["table"])
+        known["table"] = np.concatenate(tables)
+        known["at"].update(zip(new, range(at, at + len(new))))
+        return known["table"][np.fromiter(map(known["at"].__getitem__, vocab), "int64", len(vocab))].astype("float64")
 
     def predict(self, words: Words) -> tuple[list[str], np.ndarray]:
         n = len(words.offsets) - 1
@@ -114,7 +115,8 @@ def vocabulary(path: str) -> tuple[object, list[str]]:
 def sample_rows(df: DataFrame, label: str, text: str, per_label: int) -> DataFrame:
     """About ``per_label`` different texts of each label: those whose hash lies below the label's share. Labels are
     counted, nothing is ranked, so a label with most rows is no burden."""
-    counts = df.groupBy(label).agg(F.least(F.lit(1.0), per_label / F.count("*")).alias("_share"))
+    # Written, so that the join knows how small it is before it would shuffle texts.
+    counts = staged(df.groupBy(label).agg(F.least(F.lit(1.0), per_label / F.count("*")).alias("_share")), "language-counts")
     hashed = df.withColumn("_hash", F.pmod(F.xxhash64(text), F.lit(1 << 31)))
     return (hashed.join(counts, label).where(F.col("_hash") < F.col("_share") * (1 << 31))
             .select(label, text).dropDuplicates())

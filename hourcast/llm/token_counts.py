@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_batches
+from .common import text_batches, worker_memory
 
 MARK = "▁"
 MAX_KEPT = 64
-CACHE = 1_000_000
+CACHE = 800_000
 
 
 @lru_cache(maxsize=4)
@@ -95,7 +95,7 @@ class TrieCounter:
 def count_tokens(df: DataFrame, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key`` and ``n_tokens`` of every row; no shuffle."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TrieCounter(*piece_weights(model))
+        counter = worker_memory(("counts", model), lambda: TrieCounter(*piece_weights(model)))
         for part, words in text_batches(it):
             counts = words.sums(counter.lookup(words.vocab))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts)], ["key", "n_tokens"])

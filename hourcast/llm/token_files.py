@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Words, text_batches
+from .common import Words, text_batches, worker_memory
 
 # Between Latin-1 letters and one last full stop or comma the tokenizer cuts anyway, and it lower-cases.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -100,17 +100,11 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends[last]])
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
-    """One for a worker process, which serves one task after another."""
-    return WordEncoder(path)
-
-
 def encode_documents(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id",
                      text: str = "text") -> DataFrame:
     """``doc_id`` and ``token_ids`` of every row, in the order of the rows."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = worker_memory(("ids", tokenizer), lambda: WordEncoder(tokenizer))
         for part, words in text_batches(it):
             ids, offsets = encoder.encode(words, end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(ids.astype("int32")))
