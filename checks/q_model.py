@@ -231,7 +231,8 @@ def ml_importance(spark, d):
     """Importance summed over the models of every route, by family and by lag position."""
     from hourcast.operators.diagnostics import sum_importance, top_columns
     f = _fit(spark, d, "gbt_importance", lambda: ML.boosted_trees(maxIter=2), routed=True)
-    return top_columns(sum_importance(ML.importance_rows(spark, f.models, f.features)), 30)
+    names = ML.feature_names(f.features, CFG.seq_cols, CFG.lookback)
+    return top_columns(sum_importance(ML.importance_rows(spark, f.models, names)), 30)
 
 
 @query("regime_map_counts", "WITH " + ERRORS + """
