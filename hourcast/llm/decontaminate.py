@@ -183,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage
     sizes = sorted(r[0] for r in bench.select("width").distinct().collect())  # ``width`` numbers at most
     wanted = None
     if bench.count() <= broadcast_windows:
-        hashes = bench.select("h").distinct().toPandas()["h"].to_numpy("int64").view("uint64")
+        hashes = bench.select("h").distinct().toArrow()["h"].to_numpy().astype("int64").view("uint64")
         wanted = spark.sparkContext.broadcast(np.sort(hashes))
 
     def doc_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

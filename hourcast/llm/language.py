@@ -145,12 +145,13 @@ def fit(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", per_l
                                                   "piece": pa.array(seen), "n": pa.array(total[seen])})
 
     counts = (rows.select("lang", "text").mapInArrow(count, "lang string, piece bigint, n bigint")
-              .groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas())
+              .groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow())
     names = vocabulary(vocab)[1]
-    languages = sorted(counts["lang"].unique())
+    lang = counts["lang"].to_pylist()
+    languages = sorted(set(lang))
     total = np.zeros((len(names), len(languages)))
     place = {name: i for i, name in enumerate(languages)}
-    total[counts["piece"].to_numpy("int64"), counts["lang"].map(place).to_numpy("int64")] = counts["n"]
+    total[counts["piece"].to_numpy(), np.array([place[x] for x in lang], "int64")] = counts["n"].to_numpy()
     kept = [i for i, p in enumerate(names) if p is not None]
     total = total[kept] + alpha
     number = {names[i]: k for k, i in enumerate(kept)}

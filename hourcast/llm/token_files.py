@@ -28,7 +28,7 @@ from .common import Words, text_batches, worker_memory
 
 # Between Latin-1 letters and one last full stop or comma the tokenizer cuts anyway, and it lower-cases.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-CACHE = 350_000
+CACHE = 250_000
 ORC_OPTIONS = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id",
                "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
@@ -105,7 +105,7 @@ def encode_documents(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "
     """``doc_id`` and ``token_ids`` of every row, in the order of the rows."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_memory(("ids", tokenizer), lambda: WordEncoder(tokenizer))
-        for part, words in text_batches(it):
+        for part, words in text_batches(it, size=8 << 20):
             ids, offsets = encoder.encode(words, end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(ids.astype("int32")))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "token_ids"])
