@@ -51,10 +51,11 @@ NOISE_WORDS = frozenset(
 HEAD_WORDS = frozenset("header masthead topbar".split())
 NOT_NOISE = frozenset("has with no without is".split())
 
+DEPTH = 64  # elements below share the style node there; their text counts all the same
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                      r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
-_DIGITS, _PARTS, _SPACE = re.compile(r"\d+"), re.compile(r"[^a-z]+"), re.compile(r"\s+")
+_DIGITS, _PARTS = re.compile(r"\d+"), re.compile(r"[^a-z]+")
 _hash = xxhash.xxh3_64_intdigest
 
 
@@ -83,14 +84,35 @@ def _noisy(tag: str, attributes: dict[str, str], zone: int) -> bool:
     return False
 
 
-def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, int, str]], set[tuple[int, int]]]:
+_known: dict[tuple, tuple] = {}
+
+
+def _style(parent: int, tag: str, raw: str, zone: int) -> tuple[int, str, bool, bool]:
+    """Style node, look, noise and whether it is the main element, of an element under a style node; remembers a
+    bounded number, since pages of a site are built alike."""
+    key = (parent, tag, raw, zone)
+    found = _known.get(key)
+    if found is None:
+        attributes = {n.lower(): a or b or c for n, a, b, c in _ATTRIBUTE.findall(raw)} if raw else {}
+        look = _DIGITS.sub("0", f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}")
+        found = (_signed(_hash(f"{parent}/{look}")), look, _noisy(tag, attributes, zone),
+                 tag == "main" or attributes.get("role", "").lower() == "main")
+        if len(_known) > 50_000:
+            _known.clear()
+        _known[key] = found
+    return found
+
+
+def parse(page: str, styled: bool = True) -> tuple[list[tuple[tuple[int, ...], bool, int, str]], set[tuple[int, int]]]:
     """Blocks of text in page order (style path, noise, zone: 2 article, 1 main, 0 neither; text), and the
     (style node, presentation) pairs of the page."""
     root = _Element("", 0, (), False, 0)
     stack, blocks, styles, buffer = [root], [], set(), []
 
     def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
+        if not buffer:
+            return
+        text = " ".join(html.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
             top = stack[-1]
@@ -98,6 +120,8 @@ def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, int, str]], set[
 
     def pop() -> None:
         e = stack.pop()
+        if not styled:
+            return
         runs = [c for i, c in enumerate(e.children) if not i or c != e.children[i - 1]]
         styles.add((e.node, _signed(_hash(repr(runs)))))
 
@@ -131,18 +155,16 @@ def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, int, str]], set[
                 flush()
             continue
         raw = m[3] or m[6] or ""
-        attributes = {n.lower(): a or b or c for n, a, b, c in _ATTRIBUTE.findall(raw)} if "=" in raw or "hidden" in raw else {}
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
             buffer.append(" ")
             continue
-        top = stack[-1]
-        noise = top.noise or _noisy(tag, attributes, top.zone)
         if tag not in BLOCK and tag not in NEVER:
+            top = stack[-1]
             if tag in ("td", "th"):
                 buffer.append(" ")
-            if not noise or top.noise:
+            if top.noise or not raw or not _style(top.node, tag, raw, top.zone)[2]:
                 continue
         flush()
         if tag in ENDS_P:
@@ -156,13 +178,12 @@ def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, int, str]], set[
         top = stack[-1]
         if raw.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        look = _DIGITS.sub("0", f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}")
-        if top.children or top.tag != tag:
-            top.children.append(look)
-        node = _signed(_hash(f"{top.node}/{look}"))
-        zone = max(top.zone, 0 if noise else 2 if tag == "article" else
-                   1 if tag == "main" or attributes.get("role", "").lower() == "main" else 0)
-        stack.append(_Element(tag, node, (*top.path, node), top.noise or _noisy(tag, attributes, top.zone), zone))
+        node, look, noise, is_main = _style(top.node, tag, raw, top.zone)
+        top.children.append(look)
+        noise = top.noise or noise
+        zone = max(top.zone, 0 if noise else 2 if tag == "article" else 1 if is_main else 0)
+        deep = len(top.path) >= DEPTH
+        stack.append(_Element(tag, top.node if deep else node, top.path if deep else (*top.path, node), noise, zone))
     flush()
     while len(stack) > 1:
         pop()
@@ -171,7 +192,7 @@ def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, int, str]], set[
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """The text of one page without its noise and without the branches of ``low`` style nodes."""
-    blocks = [b for b in parse(page or "")[0] if not b[1]]
+    blocks = [b for b in parse(page or "", styled=False)[0] if not b[1]]
     zone = max((b[2] for b in blocks), default=0)
     blocks = [b for b in blocks if b[2] == zone]
     kept = [b for b in blocks if not low.intersection(b[0])] if low else blocks

@@ -62,7 +62,7 @@ def test_contaminated_empty(spark, bench):
     ("<body class='has-sidebar'><p>p</p></body>", "p"), ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
     ("<div hidden>h</div><p>p</p><p title='a>b'>q</p><div", "p\nq"), ("<ul><li>a<li>b</ul>", "a\nb"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\nc"), ("<article><article class=comment><p>c</p></article><p>p</p></article>", "p"),
-    ("<p>" + "<div>" * 3000 + "deep", "deep"), ("<article>" + "<p>w</p>" * 3000 + "</article>", "\n".join(["w"] * 3000))])
+    ("<p>" + "<div>" * 50_000 + "deep", "deep"), ("<article>" + "<p>w</p>" * 3000 + "</article>", "\n".join(["w"] * 3000))])
 def test_main_text_of_one_page(page, text):
     assert site_tree.main_text(page) == text
 
