@@ -17,9 +17,11 @@ def years_to_refresh(update: Sequence[int], current: int, start: int, end: int,
 
 
 def refresh_years(df: DataFrame, path: str, years: Sequence[int], ts: str = "ts_utc",
-                  partition: Sequence[str] = ("zone", "year")) -> None:
+                  partition: Sequence[str] | None = None) -> None:
     """Overwrite only the (zone, year) partitions of ``df`` in ``years``; other years and the zones that are
-    not in ``df`` stay as they are."""
+    not in ``df`` stay as they are. A table without zones is partitioned by year."""
+    if partition is None:
+        partition = ["zone", "year"] if "zone" in df.columns else ["year"]
     if "year" not in partition:
         raise ValueError("the year must be a partition column")
     rows = df.withColumn("year", F.year(ts)).where(F.col("year").isin(*years))
