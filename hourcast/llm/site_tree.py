@@ -4,8 +4,10 @@ The pages of a host are merged into one tree of style nodes (tag, class and id a
 How much a node matters follows from how much it varies: for a node that holds text, one minus the mean entropy
 of its texts over the host's pages (a text on every page has entropy 1); for a node with branches, the entropy of
 its presentation styles and, weighing more the fewer styles there are, the importance of the text below it.
-Branches of low importance are cut from each page. On few pages nothing can be said, so a node is
-judged from ``min_pages`` pages on, and only if it is on ``min_share`` of them: so a host has few low nodes, at
+Branches of low importance are cut from each page. Copies and near copies of a page say nothing about what a
+site repeats: pages of a host that agree in ``SKETCH`` minima over the shingles of their text count as one. On few
+pages nothing can be said, so a node is judged from ``min_pages`` such pages on, if they are worth ``least_different``
+even ones (exponential of the entropy of a page's class, which many near copies of one article do not reach), and only if it is on ``min_share`` of them: so a host has few low nodes, at
 most (nodes on a page) / ``min_share``.
 
 Independently of the host, fixed names cut what is never main text (scripts, menus, forms, comments, adverts ...),
@@ -13,7 +15,7 @@ and a page with an ``article`` (else ``main``) outside of those is only read the
 left, the site serves one text everywhere, and it stays.
 
 Only hashes are shuffled to score nodes, counted before the shuffle; a host with a third of all pages is spread
-by its texts. Defined results: null, empty and text-free html give an empty text; a null url or one without a
+by its texts and pages. Defined results: null, empty and text-free html give an empty text; a null url or one without a
 host is judged by names alone; repeated rows come out each; long pages are read whole; unclosed and cut-off
 markup is read as far as it goes.
 """
@@ -24,11 +26,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import Words, staged
+from .shingles import mix, shingle_hashes
 from .url_rules import host_of
 
 # Elements of HTML by what they mean for text.
@@ -57,6 +61,8 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _DIGITS, _PARTS = re.compile(r"\d+"), re.compile(r"[^a-z]+")
 _hash = xxhash.xxh3_64_intdigest
+SKETCH = 2
+READ = 4 << 20  # characters of pages whose observations are held at once
 
 
 def _signed(h: int) -> int:
@@ -199,35 +205,67 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     return "\n".join(b[3] for b in kept or blocks)
 
 
+def page_classes(texts: list[str]) -> list[int]:
+    """A number for each text, the same for copies and, with a chance of their likeness to the power of ``SKETCH``,
+    for near copies."""
+    h, offsets = shingle_hashes(Words(pa.array(texts, pa.string())))
+    full = np.flatnonzero(np.diff(offsets))
+    out = np.zeros(len(texts), "uint64")
+    if len(full):
+        for k in range(SKETCH):
+            least = np.minimum.reduceat(mix(h + np.uint64(k)), offsets[:-1][full])
+            out[full] = mix(out[full] + least)
+    return out.view("int64").tolist()
+
+
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str]]]:
+    """Rows of (host, html), about ``READ`` characters at a time; a longer page is alone."""
+    held, size = [], 0
+    for batch in it:
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.append((host, page or ""))
+            size += len(held[-1][1])
+            if size >= READ:
+                yield held
+                held, size = [], 0
+    yield held
+
+
 def _observations(pages: DataFrame) -> DataFrame:
-    """``host, node, kind, value, n, path``: on how many pages a style node has a text (kind 0) or a presentation
-    (kind 1), and on how many it is (kind 2), summed over the pages of a batch."""
+    """``host, node, kind, value, page, n, path``: that pages of a class (``page``) have a text at a style node (kind 0) or
+    show a presentation of it (kind 1) or have the node (kind 2), and how many rows of a slice do."""
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for rows in _slices(it):
             seen, paths = Counter(), {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks, styles = parse(page or "")
+            parsed = [parse(page) for _, page in rows]
+            classes = page_classes(["\n".join(b[3] for b in blocks if not b[1]) for blocks, _ in parsed])
+            for (host, _), (blocks, styles), page in zip(rows, parsed, classes):
                 texts = {(path[-1] if path else 0, _signed(_hash(text))) for path, noise, _, text in blocks if not noise}
-                seen.update((host, node, 0, text) for node, text in texts)
+                seen.update((host, node, 0, text, page) for node, text in texts)
                 live = {n for path, noise, _, _ in blocks if not noise for n in path}
-                seen.update((host, node, 1, style) for node, style in styles if node in live)
-                seen.update((host, node, 2, 0) for node in live)
-                paths.update((path[-1], path) for path, noise, _, _ in blocks if path and not noise)
+                seen.update((host, node, 1, style, page) for node, style in styles if node in live)
+                seen.update((host, node, 2, 0, page) for node in live)
+                paths.update(((host, path[-1]), path) for path, noise, _, _ in blocks if path and not noise)
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                  pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64()),
-                 pa.array([seen[k] for k in keys], pa.int64()),
-                 pa.array([paths.get(k[1]) if k[2] == 2 else None for k in keys], pa.list_(pa.int64()))],
-                ["host", "node", "kind", "value", "n", "path"])
+                 pa.array([k[4] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64()),
+                 pa.array([paths.pop(k[:2], None) if k[2] == 2 else None for k in keys], pa.list_(pa.int64()))],
+                ["host", "node", "kind", "value", "page", "n", "path"])
 
-    return pages.mapInArrow(read, "host bigint, node bigint, kind int, value bigint, n bigint, path array<bigint>")
+    return pages.mapInArrow(read, "host bigint, node bigint, kind int, value bigint, page bigint, n bigint, path array<bigint>")
 
 
 def node_importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
-    """``host, node, pages, importance`` of every style node that holds text, from rows of (host hash, html)."""
-    seen = _observations(pages)
-    summed = seen.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"), F.max("path").alias("path"))
+    """``host, node, pages, different, importance`` of every style node that holds text, from rows of (host hash, html):
+    ``pages`` counts classes of pages, ``different`` says how many classes of equal size would be as varied."""
+    classes = _observations(pages).groupBy("host", "node", "kind", "value", "page").agg(
+        F.sum("n").alias("rows"), F.max("path").alias("path"))
+    rows = F.col("rows").cast("double")
+    summed = classes.groupBy("host", "node", "kind", "value").agg(
+        F.count("*").alias("n"), F.max("path").alias("path"),
+        (F.log(F.sum(rows)) - F.sum(rows * F.log(rows)) / F.sum(rows)).alias("spread"))
     n = F.col("n").cast("double")
 
     def of(kind: int, c):
@@ -235,6 +273,7 @@ def node_importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
 
     nodes = staged(summed.groupBy("host", "node").agg(
         F.sum(of(2, F.col("n"))).alias("pages"), F.max(of(2, F.col("path"))).alias("path"),
+        F.exp(F.max(of(2, F.col("spread")))).alias("different"),
         F.count(of(0, n)).alias("texts"), F.sum(of(0, F.log(n))).alias("log_texts"),
         F.count(of(1, n)).alias("styles"), F.sum(of(1, n)).alias("shown"), F.sum(of(1, n * F.log(n))).alias("n_log_n")),
         "site-nodes")
@@ -247,25 +286,27 @@ def node_importance(pages: DataFrame, damping: float = 0.9) -> DataFrame:
     weight = F.pow(F.lit(damping), F.col("styles"))
     presented = F.when(F.col("styles") > 1, (1 - weight) * F.coalesce(varied, F.lit(0.0)) + weight * F.col("content"))
     return nodes.join(content, ["host", "node"]).select(
-        "host", "node", "pages", F.coalesce(presented, "content").alias("importance"))
+        "host", "node", "pages", "different", F.coalesce(presented, "content").alias("importance"))
 
 
-def low_nodes(pages: DataFrame, threshold: float, min_pages: int, min_share: float) -> DataFrame:
+def low_nodes(pages: DataFrame, threshold: float, min_pages: int, min_share: float, least_different: float) -> DataFrame:
     """``host, low``: the style nodes of each host that are to be cut."""
     scored = staged(node_importance(pages), "site-importance")
     # The pages of a host: the most that one of its nodes is on.
     size = scored.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    low = scored.where((F.col("importance") < threshold) & (F.col("pages") >= min_pages)).join(size, "host")
+    low = scored.where((F.col("importance") < threshold) & (F.col("pages") >= min_pages)
+                       & (F.col("different") >= least_different)).join(size, "host")
     return low.where(F.col("pages") >= min_share * F.col("host_pages")).groupBy("host").agg(F.collect_set("node").alias("low"))
 
 
 def extract_main_text(df: DataFrame, url: str = "url", page: str = "html", threshold: float = 0.3, min_pages: int = 8,
-                      min_share: float = 0.01) -> DataFrame:
+                      min_share: float = 0.01, least_different: float = 3.0) -> DataFrame:
     """Adds ``text`` and ``n_chars`` to every row."""
     host = F.when(host_of(F.col(url)) != "", F.xxhash64(host_of(F.col(url))))
     rows = df.drop("text", "n_chars").withColumn("__host", host)
     # Written, so that its size is known when the pages are joined: small ones are broadcast, large ones are not.
-    low = staged(low_nodes(rows.where("__host is not null").select("__host", page), threshold, min_pages, min_share), "site-low")
+    low = staged(low_nodes(rows.where("__host is not null").select("__host", page), threshold, min_pages, min_share,
+                           least_different), "site-low")
     rows = rows.join(low.toDF("__host", "__low"), "__host", "left")
     at = {c: i for i, c in enumerate(df.drop("text", "n_chars").columns)}
 

@@ -89,6 +89,25 @@ def test_site_tree_cuts_what_a_host_repeats(spark):
     assert site_tree.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_site_tree_keeps_what_only_copies_of_an_article_have(spark):
+    r = random.Random(3)
+
+    def words(n):
+        return " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+
+    def page(title, body):
+        return f"<div class=top>Welcome to the site</div><h1>{title}</h1>{body}"
+
+    copied = f"<p>{words(150)}</p><ul><li>{words(30)}</li><li>{words(30)}</li></ul><blockquote>{words(40)}</blockquote>"
+    rows = [(i, "http://h.org/a", page(words(4), f"<p>{words(60)}</p>")) for i in range(60)]
+    rows += [(100 + i, "http://h.org/c", page("Title", copied)) for i in range(10)]  # copies among other articles
+    rows += [(200 + i, "http://near.org/", page(words(3), copied)) for i in range(300)]  # nothing but near copies
+    got = {x.page_id: x.text for x in site_tree.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    own = site_tree.main_text(copied)
+    assert all(own in got[i] for i in [*range(100, 110), *range(200, 500)])
+    assert not any("Welcome" in got[i] for i in [*range(60), *range(100, 110)])
+
+
 # --- nearest neighbours
 
 def exact(ids, x, k):
