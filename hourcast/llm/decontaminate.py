@@ -1,15 +1,22 @@
 """Benchmark decontamination by templates: numbers, units and names become typed placeholders.
 
-A text is read as tokens: words, numbers and units. Two templates of it are hashed in windows of ``width``
-tokens: ``plain`` (numbers and units replaced, words in lower case) finds copies in any case and with other
-figures, ``named`` (capitalised words replaced too) finds copies with other names. Windows of documents are
-looked up among those of the benchmark by hash; hits on one diagonal (same shift between document and item)
-belong together. A document is contaminated by an item if windows on one diagonal cover ``coverage`` of the
-item's windows and the slots are consistent: on that diagonal equal values of the item have equal values
-in the document, so a re-parameterised question counts and a chance likeness of templates does not.
-
-A window needs ``literals`` different tokens that are no placeholders. Items shorter than a window are one
-window of their own length, if they have so many literals.
+A text is read as tokens: words, numbers and units. Two templates of it are hashed in windows: ``plain`` (runs of
+numbers and units replaced, words in lower case) finds copies in any case and with other figures, ``named`` (runs of
+capitalised words replaced too) finds copies with other names. A run is one placeholder, so '1 200' may stand for
+'12', '5' for '5 kg' and 'Mary Ann' for 'Anna'.
+
+Windows of documents are looked up among those of the benchmark by hash. Hits of one item at one place (shifts between
+document and item that differ by ``drift`` of the item's windows at most) are put in order: the longest chain that
+goes forward in both, so words that were put in or left out only cost the windows they are in. A document is
+contaminated by an item if a chain covers ``coverage`` of the item's windows and the slots are consistent: along the
+chain equal values of the item have equal values in the document, so a re-parameterised question counts and a
+chance likeness of templates does not. Placeholders at the ends of an item may belong to longer runs of the
+document, so they are not compared.
+
+Windows are ``width`` tokens, or ``short`` for items of fewer than 3 * ``width`` - 1, so one changed word
+leaves half of the windows. A window needs ``literals`` different tokens that are no placeholders (short ones: more
+than half of their tokens). Items shorter than a window are one window of their own length, if they have so many
+literals.
 
 The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS`` of them (16 bytes each); a larger benchmark
 is joined by a shuffle of hashes. Either way the same rows come out.
@@ -20,6 +27,7 @@ group like any other; repeated rows of a document or an item count once; texts o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +47,9 @@ UNITS = frozenset("% € $ £ cm mm m km g kg mg t l ml s sec min h hr day days
                   "kilogram kilograms ton tons".split())
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£]")
 WORD_KIND, NUMBER, UNIT, NAME = 0, 1, 2, 3
+HELD = {"plain": (NUMBER, UNIT), "named": (NUMBER, UNIT, NAME)}  # what becomes a placeholder
 BROADCAST_WINDOWS = 2_000_000
-_MARKS = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>")) for k in (NUMBER, UNIT, NAME)}
+_MARKS = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>")) for k in (NUMBER, NAME)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEED = {"plain": np.uint64(0x1F83D9ABFB41BD6B), "named": np.uint64(0x5BE0CD19137E2179)}
 
@@ -68,14 +77,22 @@ class _Tokens:
         return found
 
 
+@dataclass
+class Template:
+    """Texts under one template: the first token of each place (and the number of tokens), hashes of the places, offsets
+    of the texts among them."""
+    first: np.ndarray
+    hashes: np.ndarray
+    offsets: np.ndarray
+
+
 @dataclass
 class Templates:
-    """Texts as tokens: offsets of the texts, kinds, the hashes of both templates, and each token's word and place
-    in it."""
+    """Texts as tokens: offsets of the texts, kinds, both templates, and each token's word and place in it."""
     words: Words
     offsets: np.ndarray
     kind: np.ndarray
-    hashes: dict[str, np.ndarray]
+    of: dict[str, Template]
     code: np.ndarray
     place: np.ndarray
 
@@ -84,8 +101,9 @@ class Templates:
 
     def slots(self, at: int, width: int, template: str) -> list[str]:
         """The values in a window's placeholders, in order."""
-        held = (NUMBER, UNIT, NAME) if template == "named" else (NUMBER, UNIT)
-        return [self.token(i) for i in range(at, at + width) if self.kind[i] in held]
+        first = self.of[template].first
+        return [" ".join(map(self.token, range(first[i], first[i + 1])))
+                for i in range(at, at + width) if self.kind[first[i]] in HELD[template]]
 
 
 def templates(words: Words) -> Templates:
@@ -106,10 +124,21 @@ def templates(words: Words) -> Templates:
     after_number[1:] = kind[:-1] == NUMBER
     after_number[offsets[:-1][offsets[:-1] < len(kind)]] = False
     kind[maybe_unit & after_number] = UNIT
-    for k in (NUMBER, UNIT):
-        plain[kind == k] = _MARKS[k]
-    return Templates(words, offsets, kind, {"plain": plain, "named": np.where(kind == NAME, _MARKS[NAME], plain)}, code,
-                     place)
+    begins = np.zeros(len(kind) + 1, bool)
+    begins[offsets] = True
+    figure = (kind == NUMBER) | (kind == UNIT)
+    plain[figure] = _MARKS[NUMBER]
+
+    def template(hashes: np.ndarray, *runs: np.ndarray) -> Template:
+        within = np.zeros(len(kind) + 1, bool)
+        for run in runs:
+            within[1:-1] |= run[1:] & run[:-1]
+        first = np.flatnonzero(~within | begins)
+        return Template(first, hashes[first[:-1]], np.searchsorted(first, offsets))
+
+    name = kind == NAME
+    return Templates(words, offsets, kind, {"plain": template(plain, figure),
+                                            "named": template(np.where(name, _MARKS[NAME], plain), figure, name)}, code, place)
 
 
 def windows(hashes: np.ndarray, offsets: np.ndarray, width: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -126,48 +155,57 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, width: int, seed: np.uint64
     return mix(total[inside]), inside
 
 
-def benchmark_windows(items: list[tuple[object, str | None]], width: int, literals: int) -> pd.DataFrame:
-    """``item_id, template, at, n_windows, width, h, slots`` of the items that have enough literals."""
+def benchmark_windows(items: list[tuple[object, str | None]], width: int, short: int, literals: int) -> pd.DataFrame:
+    """``item_id, template, at, n_windows, width, h, item_pos, item_slots`` of the items that have enough literals; a
+    slot that is not compared is null."""
     out = []
     for item, text in items:
         t = templates(Words(pa.array([text], pa.string())))
-        kind, size = t.kind, min(width, len(t.kind))
-        if not size:
-            continue
-        for name, h in t.hashes.items():
-            free = kind == WORD_KIND if name == "named" else (kind == WORD_KIND) | (kind == NAME)
-            got, at = windows(h, t.offsets, size, _SEED[name])
-            rich = [len({x for x, f in zip(h[a:a + size].tolist(), free[a:a + size]) if f}) >= literals for a in at]
+        for name, one in t.of.items():
+            n = len(one.hashes)
+            size = min(width if n >= 3 * width - 1 else short, n)
+            if not size:
+                continue
+            least = min(literals, size // 2 + 1) if size == short else literals
+            free = ~np.isin(t.kind[one.first[:-1]], HELD[name])
+            got, at = windows(one.hashes, one.offsets, size, _SEED[name])
+            rich = [len({x for x, f in zip(one.hashes[a:a + size].tolist(), free[a:a + size]) if f}) >= least for a in at]
             for x, a, ok in zip(got, at, rich):
                 if ok:
-                    out.append((item, name, int(a), sum(rich), size, int(np.int64(x.view("int64"))),
-                                t.slots(a, size, name)))
-    return pd.DataFrame(out, columns=["item_id", "template", "at", "n_windows", "width", "h", "slots"])
+                    slots = t.slots(a, size, name)
+                    if slots and a == 0 and not free[0]:
+                        slots[0] = None
+                    if slots and a + size == n and not free[n - 1]:
+                        slots[-1] = None
+                    out.append((item, name, int(a), sum(rich), size, int(np.int64(x.view("int64"))), int(one.first[a]), slots))
+    return pd.DataFrame(out, columns=["item_id", "template", "at", "n_windows", "width", "h", "item_pos", "item_slots"])
 
 
-def _document_windows(it: Iterator[pa.RecordBatch], sizes: list[int],
+def _document_windows(it: Iterator[pa.RecordBatch], sizes: list[tuple[str, int]],
                       wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Windows of documents that are wanted (all, if None), as ``doc_id, template, pos, h, slots``."""
+    """Windows of documents that are wanted (all, if None), as ``doc_id, template, place, pos, h, slots``: the place among
+    those of the template, and the first token."""
     for part, words in text_batches(it):
         t, ids = templates(words), part.column(0)
-        for name, h in t.hashes.items():
-            for size in sizes:
-                got, at = windows(h, t.offsets, size, _SEED[name])
-                if wanted is not None and len(got):
-                    place = np.searchsorted(wanted, got)
-                    hit = wanted[np.minimum(place, len(wanted) - 1)] == got
-                    got, at = got[hit], at[hit]
-                if len(got):
-                    owner = np.searchsorted(t.offsets, at, side="right") - 1
-                    slots = pa.array([t.slots(a, size, name) for a in at.tolist()], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(owner)), pa.array([name] * len(got)), pa.array(at - t.offsets[owner]),
-                         pa.array(got.view("int64")), slots], ["doc_id", "template", "pos", "h", "slots"])
+        for name, size in sizes:
+            one = t.of[name]
+            got, at = windows(one.hashes, one.offsets, size, _SEED[name])
+            if wanted is not None and len(got):
+                place = np.searchsorted(wanted, got)
+                hit = wanted[np.minimum(place, len(wanted) - 1)] == got
+                got, at = got[hit], at[hit]
+            if len(got):
+                owner = np.searchsorted(one.offsets, at, side="right") - 1
+                slots = pa.array([t.slots(a, size, name) for a in at.tolist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner)), pa.array([name] * len(got)), pa.array(at - one.offsets[owner]),
+                     pa.array(one.first[at] - t.offsets[owner]), pa.array(got.view("int64")), slots],
+                    ["doc_id", "template", "place", "pos", "h", "slots"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, literals: int = 4,
                  key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-                 broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+                 broadcast_windows: int = BROADCAST_WINDOWS, short: int = 5, drift: float = 0.25) -> DataFrame:
     """``doc_id, item_id, n_hits, n_windows, start`` of every document and item that it contains, with the first
     token of the place that covers most."""
     spark = docs.sparkSession
@@ -175,12 +213,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage
 
     def item_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield benchmark_windows(list(zip(pdf["item_id"], pdf["text"])), width, literals)
+            yield benchmark_windows(list(zip(pdf["item_id"], pdf["text"])), width, short, literals)
 
     bench = staged(benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).dropDuplicates()
                    .mapInPandas(item_rows, f"item_id {kinds['item_id']}, template string, at bigint, n_windows bigint, "
-                                           "width int, h bigint, slots array<string>"), "bench-windows")
-    sizes = sorted(r[0] for r in bench.select("width").distinct().collect())  # ``width`` numbers at most
+                                           "width int, h bigint, item_pos bigint, item_slots array<string>"), "bench-windows")
+    # At most ``width`` numbers a template.
+    sizes = sorted((r[0], r[1]) for r in bench.select("template", "width").distinct().collect())
     wanted = None
     if bench.count() <= broadcast_windows:
         hashes = bench.select("h").distinct().toArrow()["h"].to_numpy().astype("int64").view("uint64")
@@ -192,23 +231,75 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage
             yield from _document_windows(it, sizes, known)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        doc_rows, f"doc_id {kinds['doc_id']}, template string, pos bigint, h bigint, slots array<string>")
-    hits = rows.join(bench.withColumnRenamed("slots", "item_slots"), ["h", "template"])
-    return _judged(hits, coverage)
-
-
-def _judged(hits: DataFrame, coverage: float) -> DataFrame:
-    hits = hits.where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("pos") - F.col("at"))
-    place = ["doc_id", "item_id", "template", "shift"]
-    # What a placeholder held: bounded by the item, since one shift gives each of its windows at most once.
-    pair = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))
-    values = hits.select(*place, "at", "n_windows", pair.alias("p"))
-    per = values.groupBy(*place).agg(
-        F.countDistinct("at").alias("n_hits"), F.max("n_windows").alias("n_windows"),
-        F.countDistinct("p.item").alias("n_item"), F.countDistinct("p.item", "p.doc").alias("n_pairs"))
-    good = per.where((F.col("n_item") == F.col("n_pairs")) & (F.col("n_hits") >= coverage * F.col("n_windows")))
+        doc_rows, f"doc_id {kinds['doc_id']}, template string, place bigint, pos bigint, h bigint, slots array<string>")
+    return _judged(rows.join(bench, ["h", "template"]), coverage, drift)
+
+
+def _chain(hits: list[tuple[int, int]]) -> list[int]:
+    """The longest run of (at, place), sorted by at and then by place backwards, that goes forward in both."""
+    ends, tops, before = [], [], []
+    for i, (_, place) in enumerate(hits):
+        k = bisect_left(tops, place)
+        before.append(ends[k - 1] if k else -1)
+        tops[k:k + 1], ends[k:k + 1] = [place], [i]
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def _consistent(hits: list[dict]) -> bool:
+    held: dict[str, str] = {}
+    return all(held.setdefault(i, d) == d for x in hits for i, d in zip(x["item_slots"], x["slots"]) if i is not None)
+
+
+def _best(hits: list[dict], least: float) -> list[dict]:
+    """The longest consistent chain of at least ``least`` hits: over all shifts, else on one."""
+    hits = sorted(hits, key=lambda x: (x["at"], -x["place"]))
+    if len({x["at"] for x in hits}) < least:
+        return []
+    chain = [hits[i] for i in _chain([(x["at"], x["place"]) for x in hits])]
+    if len(chain) < least:
+        return []
+    if _consistent(chain):
+        return chain
+    shifts: dict[int, list[dict]] = {}
+    for x in hits:
+        shifts.setdefault(x["place"] - x["at"], []).append(x)
+    return max((x for x in shifts.values() if len({h["at"] for h in x}) >= least and _consistent(x)), key=len, default=[])
+
+
+def _judged(hits: DataFrame, coverage: float, drift: float) -> DataFrame:
+    hits = hits.where(F.size("slots") == F.size("item_slots"))
+    # Shifts that differ by less than ``reach`` are together in one of two bands; so what is held at once is bounded by
+    # the item, however long the document.
+    reach = F.greatest(F.lit(4), F.ceil(drift * F.col("n_windows")))
+    band = F.floor((F.col("place") - F.col("at")) / reach)
+    rows = hits.withColumn("band", F.explode(F.array(band, band - 1)))
+    sets = rows.groupBy("doc_id", "item_id", "template", "n_windows", "band").agg(F.collect_set(
+        F.struct("at", "place", "pos", "item_pos", "slots", "item_slots")).alias("hits"))
+    sets = sets.where(F.size("hits") >= coverage * F.col("n_windows"))
+    ids = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in ("doc_id", "item_id"))
+
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            n_windows, found = batch.column(2).to_pylist(), batch.column(3)
+            kept, n_hits, start = [], [], []
+            for i, n in enumerate(n_windows):
+                chain = _best(found[i].as_py(), coverage * n)
+                if chain:
+                    kept.append(i), n_hits.append(len({x["at"] for x in chain}))
+                    start.append(chain[0]["pos"] - chain[0]["item_pos"])
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(rows) for i in range(3)), pa.array(n_hits, pa.int64()), pa.array(start, pa.int64())],
+                ["doc_id", "item_id", "n_windows", "n_hits", "start"])
+
+    good = sets.select("doc_id", "item_id", "n_windows", "hits").mapInArrow(
+        judge, f"{ids}, n_windows bigint, n_hits bigint, start bigint")
     best = F.max(F.struct((F.col("n_hits") / F.col("n_windows")).alias("share"), "n_hits", "n_windows",
-                          (-F.col("shift")).alias("back"))).alias("best")
+                          (-F.col("start")).alias("back"))).alias("best")
     return good.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("best.n_hits").alias("n_hits"), F.col("best.n_windows").alias("n_windows"),
         (-F.col("best.back")).alias("start"))

@@ -43,6 +43,28 @@ def test_contaminated(spark, bench, limit):
     assert {r.doc_id for r in clean.collect()} == {k for k, (_, items) in CASES.items() if not items}
 
 
+LONG = ("the baker in the old town sells every morning fresh rolls to all people who come early and wait in front of the "
+        "small shop until its green door opens and the smell of warm bread fills the whole street")
+SHORT = "which of these four animals can sleep while standing on its legs in the field"
+CHANGED = {
+    1: (LONG.replace("people who", "people there who"), 1), 2: (LONG.replace("early and", "and"), 1),
+    3: (LONG.replace("fresh rolls", "fresh and soft rolls").replace("its green door", "its door"), 1),
+    4: (SHORT.replace("while", "when"), 2), 5: (SHORT.replace("while", "for hours while"), 2),
+    6: ("Then Mary Ann has 1 200 apples and gives 5 of them to Bob who already owns 1 200 pears in his small garden", 3),
+    7: ("Then Mary Ann has 1 200 apples and gives 5 of them to Bob who already owns 1 300 pears in his small garden", None),
+    8: ("Dear John Anna has 15 apples and gives 7 kg of them to Old Uncle Carl who already owns 15 pears in his small garden", 3),
+    9: (" ".join(LONG.split()[::-1]), None), 10: (" x ".join(LONG.split()), None)}
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_contaminated_with_words_put_in_left_out_or_changed(spark, limit):
+    bench = spark.createDataFrame([(1, LONG), (2, SHORT), (3, ITEM)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, f"so it began {t} and went on") for k, (t, _) in CHANGED.items()], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench, broadcast_windows=limit).collect()}
+    assert set(got) == {(k, i) for k, (_, i) in CHANGED.items() if i}
+    assert got[1, 1].start == 3 and all(r.n_windows / 2 <= r.n_hits <= r.n_windows for r in got.values())
+
+
 def test_contaminated_empty(spark, bench):
     docs = spark.createDataFrame([(1, OTHER)], "doc_id bigint, text string")
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
