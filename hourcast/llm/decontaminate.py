@@ -15,13 +15,16 @@ document, so they are not compared.
 
 Windows are ``width`` tokens, or ``short`` for items of fewer than 3 * ``width`` - 1, so one changed word
 leaves half of the windows. A window needs ``literals`` different tokens that are no placeholders (short ones: more
-than half of their tokens). Items shorter than a window are one window of their own length, if they have so many
-literals.
+than half of their tokens). Items shorter than a window are one window of their own length.
+
+Items without such a window under either template are searched verbatim (``exact``: all tokens in lower case, values
+too), whole and without a gap; one or two tokens match documents that hold nothing else. Scripts without spaces
+between words are read by character.
 
 The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS`` of them (16 bytes each); a larger benchmark
 is joined by a shuffle of hashes. Either way the same rows come out.
 
-Defined results: null, empty and too short texts match nothing, as documents and as items; a null id is a
+Defined results: null texts and texts without a token match nothing, as documents and as items; a null id is a
 group like any other; repeated rows of a document or an item count once; texts of any length are read whole.
 """
 from __future__ import annotations
@@ -45,13 +48,16 @@ UNITS = frozenset("% € $ £ cm mm m km g kg mg t l ml s sec min h hr day days
                   "weeks month months year years meter meters metre metres mile miles foot feet inch inches pound pounds "
                   "dollar dollars euro euros cent cents percent degree degrees liter liters litre litres gram grams "
                   "kilogram kilograms ton tons".split())
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£]")
+# Fixed value: Thai to Myanmar, Khmer, kana and Han letters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[{UNSPACED}]|[^\W\d_{UNSPACED}]+(?:['’][^\W\d_{UNSPACED}]+)*|[%€$£]")
 WORD_KIND, NUMBER, UNIT, NAME = 0, 1, 2, 3
-HELD = {"plain": (NUMBER, UNIT), "named": (NUMBER, UNIT, NAME)}  # what becomes a placeholder
+HELD = {"plain": (NUMBER, UNIT), "named": (NUMBER, UNIT, NAME), "exact": ()}  # what becomes a placeholder
 BROADCAST_WINDOWS = 2_000_000
 _MARKS = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>")) for k in (NUMBER, NAME)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SEED = {"plain": np.uint64(0x1F83D9ABFB41BD6B), "named": np.uint64(0x5BE0CD19137E2179)}
+_SEED = {"plain": np.uint64(0x1F83D9ABFB41BD6B), "named": np.uint64(0x5BE0CD19137E2179),
+         "exact": np.uint64(0xA54FF53A5F1D36F1)}
 
 
 class _Tokens:
@@ -127,7 +133,7 @@ def templates(words: Words) -> Templates:
     begins = np.zeros(len(kind) + 1, bool)
     begins[offsets] = True
     figure = (kind == NUMBER) | (kind == UNIT)
-    plain[figure] = _MARKS[NUMBER]
+    exact, plain = plain, np.where(figure, _MARKS[NUMBER], plain)
 
     def template(hashes: np.ndarray, *runs: np.ndarray) -> Template:
         within = np.zeros(len(kind) + 1, bool)
@@ -138,7 +144,8 @@ def templates(words: Words) -> Templates:
 
     name = kind == NAME
     return Templates(words, offsets, kind, {"plain": template(plain, figure),
-                                            "named": template(np.where(name, _MARKS[NAME], plain), figure, name)}, code, place)
+                                            "named": template(np.where(name, _MARKS[NAME], plain), figure, name),
+                                            "exact": template(exact)}, code, place)
 
 
 def windows(hashes: np.ndarray, offsets: np.ndarray, width: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +168,11 @@ def benchmark_windows(items: list[tuple[object, str | None]], width: int, short:
     out = []
     for item, text in items:
         t = templates(Words(pa.array([text], pa.string())))
-        for name, one in t.of.items():
+        searched = False
+        for name, one in t.of.items():  # exact comes last
             n = len(one.hashes)
+            if name == "exact" and searched:
+                continue
             size = min(width if n >= 3 * width - 1 else short, n)
             if not size:
                 continue
@@ -170,6 +180,11 @@ def benchmark_windows(items: list[tuple[object, str | None]], width: int, short:
             free = ~np.isin(t.kind[one.first[:-1]], HELD[name])
             got, at = windows(one.hashes, one.offsets, size, _SEED[name])
             rich = [len({x for x, f in zip(one.hashes[a:a + size].tolist(), free[a:a + size]) if f}) >= least for a in at]
+            if name == "exact":
+                size = min(short, n)
+                got, at = windows(one.hashes, one.offsets, size, _SEED[name])
+                rich = [True] * len(at)
+            searched |= any(rich)
             for x, a, ok in zip(got, at, rich):
                 if ok:
                     slots = t.slots(a, size, name)
@@ -194,8 +209,11 @@ def _document_windows(it: Iterator[pa.RecordBatch], sizes: list[tuple[str, int]]
                 place = np.searchsorted(wanted, got)
                 hit = wanted[np.minimum(place, len(wanted) - 1)] == got
                 got, at = got[hit], at[hit]
+            owner = np.searchsorted(one.offsets, at, side="right") - 1
+            if name == "exact" and size < 3:
+                alone = np.diff(one.offsets)[owner] == size
+                got, at, owner = got[alone], at[alone], owner[alone]
             if len(got):
-                owner = np.searchsorted(one.offsets, at, side="right") - 1
                 slots = pa.array([t.slots(a, size, name) for a in at.tolist()], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(owner)), pa.array([name] * len(got)), pa.array(at - one.offsets[owner]),
@@ -254,15 +272,15 @@ def _consistent(hits: list[dict]) -> bool:
     return all(held.setdefault(i, d) == d for x in hits for i, d in zip(x["item_slots"], x["slots"]) if i is not None)
 
 
-def _best(hits: list[dict], least: float) -> list[dict]:
-    """The longest consistent chain of at least ``least`` hits: over all shifts, else on one."""
+def _best(hits: list[dict], least: float, whole: bool) -> list[dict]:
+    """The longest consistent chain of at least ``least`` hits: over all shifts (unless ``whole``), else on one."""
     hits = sorted(hits, key=lambda x: (x["at"], -x["place"]))
     if len({x["at"] for x in hits}) < least:
         return []
     chain = [hits[i] for i in _chain([(x["at"], x["place"]) for x in hits])]
     if len(chain) < least:
         return []
-    if _consistent(chain):
+    if not whole and _consistent(chain):
         return chain
     shifts: dict[int, list[dict]] = {}
     for x in hits:
@@ -279,15 +297,16 @@ def _judged(hits: DataFrame, coverage: float, drift: float) -> DataFrame:
     rows = hits.withColumn("band", F.explode(F.array(band, band - 1)))
     sets = rows.groupBy("doc_id", "item_id", "template", "n_windows", "band").agg(F.collect_set(
         F.struct("at", "place", "pos", "item_pos", "slots", "item_slots")).alias("hits"))
-    sets = sets.where(F.size("hits") >= coverage * F.col("n_windows"))
+    whole = F.col("template") == "exact"
+    sets = sets.withColumn("least", F.when(whole, 1.0).otherwise(coverage) * F.col("n_windows")).where(F.size("hits") >= F.col("least"))
     ids = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in ("doc_id", "item_id"))
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n_windows, found = batch.column(2).to_pylist(), batch.column(3)
+            found = batch.column(3)
             kept, n_hits, start = [], [], []
-            for i, n in enumerate(n_windows):
-                chain = _best(found[i].as_py(), coverage * n)
+            for i, (least, one) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                chain = _best(found[i].as_py(), least, one)
                 if chain:
                     kept.append(i), n_hits.append(len({x["at"] for x in chain}))
                     start.append(chain[0]["pos"] - chain[0]["item_pos"])
@@ -296,7 +315,7 @@ def _judged(hits: DataFrame, coverage: float, drift: float) -> DataFrame:
                 [*(batch.column(i).take(rows) for i in range(3)), pa.array(n_hits, pa.int64()), pa.array(start, pa.int64())],
                 ["doc_id", "item_id", "n_windows", "n_hits", "start"])
 
-    good = sets.select("doc_id", "item_id", "n_windows", "hits").mapInArrow(
+    good = sets.select("doc_id", "item_id", "n_windows", "hits", "least", whole.alias("whole")).mapInArrow(
         judge, f"{ids}, n_windows bigint, n_hits bigint, start bigint")
     best = F.max(F.struct((F.col("n_hits") / F.col("n_windows")).alias("share"), "n_hits", "n_windows",
                           (-F.col("start")).alias("back"))).alias("best")

@@ -65,6 +65,22 @@ def test_contaminated_with_words_put_in_left_out_or_changed(spark, limit):
     assert got[1, 1].start == 3 and all(r.n_windows / 2 <= r.n_hits <= r.n_windows for r in got.values())
 
 
+FEW = {1: "What is 12 + 7?", 2: "Paris Rome Oslo Bern Kiev Riga Baku Lima Cairo", 3: "1.5 2.5 3.5 4.5 5.5 6.5 7.5 8.5",
+       4: "床前明月光疑是地上霜举头望明月", 5: "Yes"}
+FOUND = {1: ("he asks what is 12 + 7 and waits", [1]), 2: ("what is 13 + 7", []), 3: ("In Paris, Rome, Oslo, Bern, Kiev, Riga, Baku, Lima, Cairo.", [2]),
+         4: ("1.5 2.5 3.5 4.5 5.5 6.5 7.5 9.5", []), 5: ("table 1.5 2.5 3.5 4.5 5.5 6.5 7.5 8.5 9.5", [3]),
+         6: ("诗云床前明月光，疑是地上霜。举头望明月，低头思故乡", [4]), 7: ("yes, we can", []), 8: ("YES!", [5]),
+         9: ("1.5 2.5 3.5 4.5 5.5 6.5 and 2.5 3.5 4.5 5.5 6.5 7.5 8.5", [])}
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_items_of_few_literals_are_found_verbatim(spark, limit):
+    bench = spark.createDataFrame(list(FEW.items()), "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in FOUND.items()], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, broadcast_windows=limit).collect()}
+    assert got == {(k, i) for k, (_, items) in FOUND.items() for i in items}
+
+
 def test_contaminated_empty(spark, bench):
     docs = spark.createDataFrame([(1, OTHER)], "doc_id bigint, text string")
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
