@@ -113,10 +113,11 @@ def vocabulary(path: str) -> tuple[object, list[str]]:
 
 
 def sample_rows(df: DataFrame, label: str, text: str, per_label: int) -> DataFrame:
-    """About ``per_label`` different texts of each label: those whose hash lies below the label's share. Labels are
-    counted, nothing is ranked, so a label with most rows is no burden."""
+    """About ``per_label`` different texts of each label: those whose hash lies below the label's share. Different
+    hashes of texts are counted, copies once; nothing is ranked, so a label with most rows is no burden."""
     # Written, so that the join knows how small it is before it would shuffle texts.
-    counts = staged(df.groupBy(label).agg(F.least(F.lit(1.0), per_label / F.count("*")).alias("_share")), "language-counts")
+    texts = df.select(label, F.xxhash64(text).alias("_hash")).distinct()
+    counts = staged(texts.groupBy(label).agg(F.least(F.lit(1.0), per_label / F.count("*")).alias("_share")), "language-counts")
     hashed = df.withColumn("_hash", F.pmod(F.xxhash64(text), F.lit(1 << 31)))
     return (hashed.join(counts, label).where(F.col("_hash") < F.col("_share") * (1 << 31))
             .select(label, text).dropDuplicates())

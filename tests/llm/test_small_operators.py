@@ -225,6 +225,13 @@ def test_language_predictions(spark, labelled):
     assert all(0 <= r.score <= 1 and r.extra == "kept" for r in got.values())
 
 
+def test_language_sample_counts_copies_once(spark):
+    rows = [("fr", f"texte {i % 20}") for i in range(8000)] + [("en", f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = {r["lang"]: r["count"] for r in language.sample_rows(df, "lang", "text", 100).groupBy("lang").count().collect()}
+    assert got["fr"] == 20 and 50 <= got["en"] <= 150
+
+
 def test_language_without_labels(spark, labelled):
     model = language.fit(labelled.limit(0), PIECES)
     assert {r.lang_pred for r in language.predict(labelled, model).collect()} == {"und"}
