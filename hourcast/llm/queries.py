@@ -7,13 +7,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
-from . import decontaminate, language, mixing, nn_descent, set_sketch, site_tree, token_counts, token_files, url_rules, warc
+from . import (cross_tokens, decontaminate, fingerprints, language, mixing, nn_descent, prefix_trie, set_sketch, site_tree,
+               token_counts, token_files, url_rules, warc)
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-PIECES = "piece_bpe_32k.model"
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def query(fn):
@@ -133,3 +134,55 @@ c AS (SELECT a, min(b) AS m FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(c.m, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""
+
+
+@query
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_exact_duplicates"] = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+k AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256,
+       CAST(octet_length(encode(t)) AS BIGINT) AS n_bytes FROM k"""
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES),
+                                  public_tokenizers.path(PIECES))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.strings(table(spark, sf_dir, "conversations"))
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(convs, F.col("conv") - F.col("conv") % 100, head.cast("int")))
+
+
+# crc32 as a fold over the bytes of the decimal id: a byte is put in, then eight steps of one bit.
+ORACLES["op13_prefix_trie"] = """
+WITH turns AS (SELECT conv_id, turn, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS v FROM conversations
+               WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(v ORDER BY turn NULLS FIRST, v.r, v.t) AS vs FROM turns GROUP BY 1),
+h AS (SELECT conv_id, vs, CAST(xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+          string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END),
+        4294967295::BIGINT) % 6 AS BIGINT) AS h FROM own),
+s AS (SELECT a.conv_id, list_concat(coalesce(b.vs[1:a.h], []), a.vs[a.h + 1:]) AS vs
+      FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+p AS (SELECT conv_id, len(vs) AS n, d, vs[1:d] AS prefix, vs[1:d - 1] AS up
+      FROM (SELECT *, unnest(range(0, len(vs) + 1)) AS d FROM s)),
+node AS (SELECT prefix, d, any_value(up) AS up, count(*) AS n_convs, min(conv_id) AS conv_id,
+                coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+         FROM p GROUP BY prefix, d),
+kid AS (SELECT up, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+own_value AS (SELECT node.*, coalesce(n_children, 0) AS n_children,
+                     CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(prefix[-1].t) END AS saved
+              FROM node LEFT JOIN kid ON kid.up = node.prefix),
+total AS (SELECT over AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+          FROM (SELECT n_children, saved, prefix[1:unnest(range(0, d + 1))] AS over FROM own_value) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, CASE WHEN v.d > 0 THEN o.conv_id END AS parent_conv_id, v.n_convs, v.n_children,
+       t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM own_value v JOIN total t USING (prefix) LEFT JOIN node o ON o.prefix = v.up AND v.d > 0"""
