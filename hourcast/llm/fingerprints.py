@@ -28,7 +28,7 @@ from .common import require, staged
 # (prime, point) of the polynomials; sums of a chunk of up to 2**24 bytes stay below 2**64.
 POLYNOMIALS = ((2147483647, 1103515246), (2147483629, 1664525014))
 CHUNK = 1 << 18
-PART = 8 << 20
+PART = 1 << 19
 SALTS = 64
 
 
@@ -103,7 +103,9 @@ def _suspects(todo: DataFrame) -> DataFrame:
 
 def _compared(suspects: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
     """Adds ``same``: every chunk equals that of the leader."""
-    parts = F.ceil(F.col("size") * F.least(F.greatest("n_bytes", F.lit(64)), F.lit(size)) / F.lit(PART)).cast("int")
+    # Rows of a part: about PART bytes of a chunk, but at least 8, so a leader's copies stay a fraction of them.
+    rows = F.greatest(F.lit(PART) / F.least(F.greatest("n_bytes", F.lit(512)), F.lit(size)), F.lit(8))
+    parts = F.ceil(F.col("size") / rows).cast("int")
     slots = F.when(F.col("rid") == F.col("leader"), F.sequence(F.lit(0), parts - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("rid"), parts).cast("int")))
     rows = suspects.join(bodies.select("rid", "body"), "rid").withColumn("part", F.explode(slots))
