@@ -14,7 +14,7 @@ from .common import LOWER, UPPER, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
+PIECES, BYTES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def query(fn):
@@ -151,7 +151,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokens.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES),
-                                  public_tokenizers.path(PIECES))
+                                  public_tokenizers.path(PIECES), ranks=public_tokenizers.path(RANKS))
 
 
 @query
