@@ -11,6 +11,7 @@ from hourcast.plans import serving as SV
 from hourcast.schema import METERED, PRELIMINARY
 from hourcast.session import scratch_dir
 from hourcast.sources import load as L, tables as TB, weather as WX
+from hourcast.sources.versions import VersionedTable, latest_hours, recent_from
 from hourcast.streaming import feeds as FD
 
 from .q_clean import TS, keyed
@@ -60,6 +61,31 @@ def store_idempotent(spark, d):
     return _wide(ST.freeze_merge(once, new))
 
 
+@query("store_written", "WITH " + HOURLY + STORE + _WIDE.format(days=20))
+def store_written(spark, d):
+    """Two runs into a written store, with a killed write between them that nobody sees."""
+    old, new = _stores(spark, d)
+    store = VersionedTable(spark, scratch_dir(spark, "store"))
+    SV.merge_into(store, old, keep_days=20)
+    old.withColumn("day", F.to_date("ts_utc")).write.partitionBy("day").parquet(f"{store.root}/data/run=killed")
+    SV.merge_into(store, new, keep_days=20)
+    store.vacuum()
+    return _wide(SV.read_store(store))
+
+
+@query("store_old_version", "WITH " + HOURLY + f"""
+SELECT zone, {TS}, COALESCE(ROUND(load, 6), -1.0) AS metered FROM hourly WHERE h - lo < 400""")
+def store_old_version(spark, d):
+    """A reader keeps the version it opened while the next one is written."""
+    old, new = _stores(spark, d)
+    store = VersionedTable(spark, scratch_dir(spark, "store"))
+    first = SV.merge_into(store, old.withColumn("metered", F.lit(1.0)), keep_days=None)
+    both = hourly(spark, d).withColumn("k", F.col("h") - F.col("lo")).where("k < 400")
+    second = SV.merge_into(store, both.select("zone", "ts_utc", "ts_local", F.col("load").alias("metered")), keep_days=None)
+    assert store.read(first).where("metered <> 1.0").isEmpty() and second.seq == first.seq + 1
+    return keyed(SV.read_store(store), F.coalesce(rnd("metered", 6), F.lit(-1.0)).alias("metered"))
+
+
 @query("store_long_predictions", "WITH " + HOURLY + f"""
 SELECT zone, {TS}, 'm1' AS model, ROUND(CASE WHEN h - lo < 400 AND h % 13 <> 0 THEN load_est ELSE load_est + 1 END, 6) AS pred
 FROM hourly WHERE (h - lo < 400 AND h % 13 <> 0) OR h - lo >= 200""")
@@ -330,6 +356,41 @@ def stream_actuals_upgrade(spark, d):
     return keyed(FD.current_actuals(_run(feed, spark, "actuals")), r6("metered"), "verified")
 
 
+def _compacted(rows, spark, label, resolve):
+    """Three batches into a log, compacted after the second; the state with the third."""
+    path = scratch_dir(spark, label)
+    write, log = FD.log_writer(f"{path}/log"), FD.CompactedLog(spark, f"{path}/log", f"{path}/base", resolve)
+    for batch in range(3):
+        write(rows.where(F.col("n") == batch).drop("n"), batch)
+        if batch == 1:
+            log.compact()
+    return log.state()
+
+
+@query("stream_compacted_actuals", """
+WITH x AS (SELECT CAST(user_id AS VARCHAR) AS zone, date_trunc('day', ts) AS ts_utc, value, event_id % 4 = 0 AS verified, event_id % 3 AS batch, ts FROM events)
+SELECT zone, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, ROUND(value, 6) AS metered, verified FROM x
+QUALIFY ROW_NUMBER() OVER (PARTITION BY zone, ts_utc ORDER BY verified DESC, batch DESC, ts DESC) = 1""")
+def stream_compacted_actuals(spark, d):
+    """Actuals over a compacted base and a later batch are those of the whole log."""
+    e = table(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("zone"), F.date_trunc("day", "ts").alias("ts_utc"), F.col("value").alias("metered"),
+                    (F.col("event_id") % 4 == 0).alias("verified"), F.col("ts").alias("arrived_at"), (F.col("event_id") % 3).alias("n"))
+    return keyed(_compacted(rows, spark, "actuals", FD.latest_actuals), r6("metered"), "verified")
+
+
+@query("stream_compacted_predictions", """
+WITH x AS (SELECT CAST(user_id AS VARCHAR) AS zone, date_trunc('day', ts) AS ts_utc, event_type AS model, value, event_id % 3 AS batch, ts FROM events)
+SELECT zone, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, model, ROUND(value, 6) AS pred FROM x
+QUALIFY ROW_NUMBER() OVER (PARTITION BY zone, ts_utc, model ORDER BY batch, ts) = 1""")
+def stream_compacted_predictions(spark, d):
+    """Frozen predictions likewise: a later batch never replaces what the base holds."""
+    e = table(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("zone"), F.date_trunc("day", "ts").alias("ts_utc"), F.col("event_type").alias("model"),
+                    F.col("value").alias("pred"), F.col("ts").alias("issued_at"), (F.col("event_id") % 3).alias("n"))
+    return keyed(_compacted(rows, spark, "frozen", FD.first_predictions), "model", r6("pred"))
+
+
 @query("stream_frozen_predictions", """
 WITH x AS (SELECT CAST(user_id AS VARCHAR) AS zone, date_trunc('day', ts) AS ts_utc, event_type AS model, value, ts FROM events)
 SELECT zone, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, model, ROUND(value, 6) AS pred FROM x
@@ -458,13 +519,41 @@ def io_refresh_zone(spark, d):
     return TB.read_table(spark, path).groupBy("zone", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
 
 
-@query("io_recent", "WITH " + HOURLY + f""",
+RECENT = "WITH " + HOURLY + f""",
 mx AS (SELECT zone, MAX(ts_utc) AS m FROM hourly GROUP BY 1)
-SELECT zone, {TS}, ROUND(load, 6) AS load FROM hourly JOIN mx USING (zone) WHERE ts_utc > m - INTERVAL 5 DAY""")
+SELECT zone, {TS}, ROUND(load, 6) AS load FROM hourly JOIN mx USING (zone) WHERE ts_utc > m - INTERVAL 5 DAY"""
+
+
+@query("io_recent", RECENT)
 def io_recent(spark, d):
     return keyed(TB.recent(hourly(spark, d), 5), r6("load"))
 
 
+@query("io_recent_pruned", RECENT)
+def io_recent_pruned(spark, d):
+    """The same rows from a written table of days and its summary of latest hours: other days are not listed."""
+    rows = hourly(spark, d).select("zone", "ts_utc", "load").withColumn("day", F.to_date("ts_utc"))
+    path = scratch_dir(spark, "days")
+    rows.write.partitionBy("day").parquet(path)
+    return keyed(recent_from(spark.read.parquet(path), latest_hours(rows), 5), r6("load"))
+
+
+@query("io_refresh_changed", """
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, COUNT(*) AS n, year(o_orderdate) = 1995 AND month(o_orderdate) = 3 AS written,
+  CAST(SUM(CAST(ROUND(o_totalprice*100) AS BIGINT) + CASE WHEN year(o_orderdate) = 1995 AND month(o_orderdate) = 3 THEN 1 ELSE 0 END) AS BIGINT) AS cents
+FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1996 GROUP BY ALL""")
+def io_refresh_changed(spark, d):
+    """A second refresh from changed input, rows in another order: only the days that differ are written."""
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    before, store = o.where(F.year("day").between(1994, 1996)), VersionedTable(spark, scratch_dir(spark, "changed"))
+    march = (F.year("day") == 1995) & (F.month("day") == 3)
+    after = before.where(F.year("day") > 1994).withColumn("cents", F.col("cents") + march.cast("int")).repartition(3, "o_orderkey")
+    store.refresh(before)
+    written = store.refresh(after)
+    days = store.read().groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.date_format("day", "yyyy-MM-dd").isin(written).alias("written"), "cents")
+
+
 @query("io_materialize", "WITH " + HOURLY + index_sql() + f"SELECT zone, {DAY}, status, 'v2' AS version FROM idx_all")
 def io_materialize(spark, d):
     """A second call with the same version reads the cache; a new version is built afresh."""
