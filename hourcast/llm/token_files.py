@@ -28,7 +28,7 @@ from .common import Words, text_batches, worker_memory
 
 # Between Latin-1 letters and one last full stop or comma the tokenizer cuts anyway, and it lower-cases.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-CACHE = 250_000
+CACHE = 400_000
 ORC_OPTIONS = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id",
                "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
