@@ -1,6 +1,8 @@
 """Small helpers the operators of this subpackage share."""
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -48,6 +50,17 @@ def worker_memory(key, make: Callable[[], object]):
     return _held[key]
 
 
+def free_worker_memory() -> None:
+    """For operators that remember nothing: what the last one remembered goes, back to the system as far as it can."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 class Words:
     """The words of a batch of texts: ``vocab[codes[offsets[i]:offsets[i + 1]]]`` are those of text i."""
 

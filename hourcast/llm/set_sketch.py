@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .common import staged, text_batches
+from .common import free_worker_memory, staged, text_batches
 from .components import components
 from .shingles import mix, shingle_hashes
 
@@ -84,6 +84,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
 BANDS, ROWS = 32, 4
 MARGIN = 0.2  # six standard errors of the estimate at 0.75: nothing near the threshold is given up unverified
 BROADCAST_IDS = 1_000_000
+BATCH = 4 << 20  # bytes of text that are sketched at once
 NO_ID = 1 << 62
 
 
@@ -102,7 +103,8 @@ def _sets(hashes: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], li
 def sketch_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, node, n, cid, sketch`` of every row; ``cid`` names its shingle set."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in text_batches(it):
+        free_worker_memory()
+        for part, words in text_batches(it, size=BATCH):
             hashes, offsets = shingle_hashes(words)
             regs = registers(hashes, offsets)
             sets, names = _sets(hashes, offsets)
@@ -118,7 +120,8 @@ def sketch_documents(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 def shingle_sets(df: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """``cid, n, shingles`` of the documents with the given nodes, each set once."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in text_batches(it):
+        free_worker_memory()
+        for part, words in text_batches(it, size=BATCH):
             sets, names = _sets(*shingle_hashes(words))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype("int32")
             flat = np.concatenate(sets).astype("int64") if sets else np.empty(0, "int64")
