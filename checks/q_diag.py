@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourcast.operators import diagnostics as D, samples as S
+from hourcast.operators.correlation import correlations
 from hourcast.schema import CALENDAR_NAMES
 from hourcast.sources.forecasts import clean_forecast
 
@@ -241,3 +242,19 @@ def diag_importance_top(spark, d):
     return f.select("name", rnd("importance", 4).alias("importance"))
 
 
+
+
+@query("diag_correlation_blocks", "WITH " + HOURLY + """,
+v AS (SELECT zone, ld, name, AVG(x) AS x FROM (
+  SELECT zone, ld, 'load_' || hr AS name, load AS x FROM hourly UNION ALL SELECT zone, ld, 'est_' || hr, load_est FROM hourly
+  UNION ALL SELECT zone, ld, 'temp_' || hr, t FROM hourly) GROUP BY ALL)
+SELECT least(x.name, y.name) AS a, greatest(x.name, y.name) AS b, COUNT(*) AS n, ROUND(corr(x.x, y.x), 6) + 0.0 AS r
+FROM v x JOIN v y ON x.zone = y.zone AND x.ld = y.ld AND x.name <= y.name GROUP BY ALL""")
+def diag_correlation_blocks(spark, d):
+    """All 72 x 72 / 2 correlations between the hours of load, estimate and temperature, over the days of all zones."""
+    h = hourly(spark, d).withColumns({"day": F.to_date("ts_local"), "hour": F.hour("ts_local")})
+    kinds = {"load": "load", "est": "load_est", "temp": "Temp_F"}
+    wide = h.groupBy("zone", "day").agg(*[F.avg(F.when(F.col("hour") == k, F.col(c))).alias(f"{n}_{k}")
+                                          for n, c in kinds.items() for k in range(24)])
+    out = correlations(wide, sorted(f"{n}_{k}" for n in kinds for k in range(24)), block=32)
+    return out.select("a", "b", "n", (rnd("r", 6) + 0.0).alias("r"))
