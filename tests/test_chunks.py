@@ -113,3 +113,17 @@ def test_quantiles_and_ranks_match_numpy(spark):
         assert set(mine[mine.top]["value"]) == set(v[v >= np.quantile(v, 0.9)])
     r = group_ranks(df, ["g"], "x", "t", block_hours=10).toPandas().sort_values(["g", "x", "t"])
     assert (r["rank"].to_numpy() == (r.groupby("g").cumcount() + 1).to_numpy()).all()
+
+
+def test_small_values_spread_over_cells(spark):
+    """100,000 values below 0.004 lie in many cells, in order, and their quantiles are exact."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from hourcast.operators.quantiles import cell_of, quantiles
+    x = np.concatenate([np.random.default_rng(1).uniform(0, 0.004, 99_990), [0.0, -0.0, 5e-324, -5e-324, -1e-9, 1e308, -1e308, 1.0, -1.0, 3.0]])
+    df = spark.createDataFrame([("a", float(v)) for v in x], "zone string, v double").repartition(8)
+    cells = df.select("v", cell_of(F.col("v")).alias("c")).orderBy("v").toPandas()
+    assert cells["c"].is_monotonic_increasing and cells["c"].value_counts().max() < 1000
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    assert np.allclose(quantiles(df, ["zone"], "v", probs).first()["q"], np.quantile(x, probs), rtol=1e-12)
