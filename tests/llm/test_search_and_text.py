@@ -1,4 +1,5 @@
 """Decontamination, main text, nearest neighbours and the pipeline against brute force and planted cases."""
+import math
 import random
 
 import numpy as np
@@ -105,6 +106,78 @@ def test_main_text_of_one_page(page, text):
     assert site_tree.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<p title="a hidden gem">text</p>', "text"), ('<p data-id="ad">a</p><div data-widget-id="menu">b</div>', "a\nb"),
+    ("<p title='class=\"ad\"'>a</p><p data-x=id id=ad>b</p><p id=x id=ad>c</p><p alt=\"x\"class=ad>d</p>", "a\nc"),
+    ("<main><h1>Title</h1><article>body</article><p>tail</p></main><p>no</p>", "Title\nbody\ntail"),
+    ("<p>main text</p><article>teaser</article>", "main text\nteaser"),
+    ('<article><div class="search-engines">a</div><p class="notice-period">b</p><div class="share-buttons">c</div></article>', "a\nb"),
+    ('<p>one <a class="share">no</a> two <button>no</button>three</p>', "one two three"),
+    ('<p>one <span class="ad">no<div>no</div></p><p>two</p>', "one\ntwo"), ("<p>one <a class=share>no</p><p>two", "one\ntwo"),
+    ('<div style="color:red; display : none">no</div><p style="display:block">p</p><article hidden>no</article>', "p"),
+    ("<p>" + "<a class=share>" * 20_000 + "no", ""), (f"<p class='{'x ' * 200_000}ad'>no</p><p>p", "p")])
+def test_names_are_read_from_attributes_alone(page, text):
+    assert site_tree.main_text(page) == text
+
+
+def test_site_tree_decides_on_doubtful_names_and_rare_blocks(spark):
+    r = random.Random(5)
+
+    def words(n):
+        return " ".join(str(r.random()) for _ in range(n))
+
+    def page(i):
+        doubtful = "".join(f"<div class='{c}'>{t}</div>" for c, t in
+                           (("notice-strip", f"Open {i % 3}"), ("notice-period", words(6))))
+        rare = "<div class=corner>Ask our experts</div>" if i < 12 else ""
+        return f"<div class=story><p>{words(20)}</p></div>{doubtful}{rare}"
+
+    n = 1500  # the corner is on fewer than a hundredth of the pages
+    rows = [(i, "http://h.org/", page(i)) for i in range(n)] + [(n, "http://few.org/", page(0))]
+    got = {x.page_id: x for x in site_tree.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == n + 1
+    for i in range(n):
+        assert got[i].text.count("\n") == 1 and "Open" not in got[i].text and "experts" not in got[i].text
+    assert "Open" in got[n].text and "experts" in got[n].text  # a host of one page
+
+
+def test_importance_of_style_nodes_against_brute_force(spark):
+    r = random.Random(3)
+    pages = []
+    for i in range(60):
+        item = "".join(f"<li>{r.choice('abc')}</li>" for _ in range(r.randrange(4)))
+        pages.append(f"<div class=top>{r.choice(['x', 'x', 'y'])}</div><div class=body><p>{r.random()} {r.random()}</p><ul>{item}</ul></div>")
+    parsed = [site_tree.parse(p) for p in pages]
+    classes = site_tree.page_classes(["\n".join(b[3] for b in blocks) for blocks, *_ in parsed])
+    texts, styles, on, below = {}, {}, {}, {}
+    for (blocks, shown, _), c in zip(parsed, classes):
+        live = {n for b in blocks for n in b[0]}
+        for path, _, _, text in blocks:
+            texts.setdefault(path[-1], {}).setdefault(text, set()).add(c)
+            for n in path:
+                below.setdefault(n, set()).add(path[-1])
+        for n in live:
+            on.setdefault(n, set()).add(c)
+        for n, s in shown:
+            if n in live:
+                styles.setdefault(n, {}).setdefault(s, set()).add(c)
+    want = {}
+    for n in on:
+        base = math.log(max(len(on[n]), 2))
+        content = [1 - math.log(len(cs)) / math.log(max(len(on[t]), 2)) for t in below[n] for cs in texts[t].values()]
+        content = sum(content) / len(content)
+        sizes = [len(cs) for cs in styles[n].values()]
+        shown = sum(sizes)
+        varied = -sum(k / shown * math.log(k / shown) for k in sizes) / math.log(max(shown, 2))
+        w = 0.9 ** len(sizes)
+        want[n] = (len(on[n]), content if len(sizes) == 1 else (1 - w) * varied + w * content)
+    df = spark.createDataFrame([(1, p) for p in pages], "host bigint, html string")
+    got = {x.node: (x.pages, x.importance) for x in site_tree.node_importance(df).collect()}
+    assert got.keys() == want.keys()
+    for n, (k, importance) in want.items():
+        assert got[n][0] == k and got[n][1] == pytest.approx(importance, abs=1e-9)
+
+
 def test_site_tree_cuts_what_a_host_repeats(spark):
     r = random.Random(2)
 
