@@ -9,8 +9,8 @@ Windows of documents are looked up among those of the benchmark by hash. Hits of
 document and item that differ by ``drift`` of the item's windows at most) are put in order: the longest chain that
 goes forward in both, so words that were put in or left out only cost the windows they are in. A document is
 contaminated by an item if a chain covers ``coverage`` of the item's windows and the slots are consistent: along the
-chain equal values of the item have equal values in the document, so a re-parameterised question counts and a
-chance likeness of templates does not. Placeholders at the ends of an item may belong to longer runs of the
+chain equal values of the item have equal values in the document, and different names stay different (figures may meet
+by chance), so a re-parameterised question counts and a chance likeness of templates does not. Placeholders at the ends of an item may belong to longer runs of the
 document, so they are not compared.
 
 Windows are ``width`` tokens, or ``short`` for items of fewer than 3 * ``width`` - 1, so one changed word
@@ -21,6 +21,10 @@ Items without such a window under either template are searched verbatim (``exact
 too), whole and without a gap; one or two tokens match documents that hold nothing else. Scripts without spaces
 between words are read by character.
 
+Documents and items are paired by rare windows first: of n windows of which ``least`` must be found, any n - ``least`` + 1
+hold one that is, so an item looks for documents by its n - ``least`` + 1 windows that fewest documents have, and only
+pairs found so are looked up in full. A phrase that many items share pairs nothing unless an item is made of such.
+
 The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS`` of them (16 bytes each); a larger benchmark
 is joined by a shuffle of hashes. Either way the same rows come out.
 
@@ -32,13 +36,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Words, staged, text_batches, worker_memory
 from .shingles import mix
@@ -54,6 +58,7 @@ TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[{UNSPACED}]|[^\W\d_{UNSPACED}]+(?:['’
 WORD_KIND, NUMBER, UNIT, NAME = 0, 1, 2, 3
 HELD = {"plain": (NUMBER, UNIT), "named": (NUMBER, UNIT, NAME), "exact": ()}  # what becomes a placeholder
 BROADCAST_WINDOWS = 2_000_000
+LONGEST = 64
 _MARKS = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>")) for k in (NUMBER, NAME)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEED = {"plain": np.uint64(0x1F83D9ABFB41BD6B), "named": np.uint64(0x5BE0CD19137E2179),
@@ -62,7 +67,7 @@ _SEED = {"plain": np.uint64(0x1F83D9ABFB41BD6B), "named": np.uint64(0x5BE0CD1913
 
 class _Tokens:
     """Hashes (8 bytes each) and kinds (1 byte each; 8 is added if it may be a unit) of the tokens of a word;
-    remembers a bounded number of words."""
+    remembers a bounded number of words, none longer than ``LONGEST``."""
 
     def __init__(self):
         self.known: dict[str, tuple[bytes, bytes]] = {}
@@ -77,9 +82,10 @@ class _Tokens:
                 hashes.append(xxhash.xxh3_64_intdigest(low))
                 kinds.append(kind + (8 if low in UNITS else 0))
             found = np.array(hashes, "<u8").tobytes(), bytes(kinds)
-            if len(self.known) > 500_000:
-                self.known = {}
-            self.known[word] = found
+            if len(word) <= LONGEST:
+                if len(self.known) > 500_000:
+                    self.known = {}
+                self.known[word] = found
         return found
 
 
@@ -101,9 +107,15 @@ class Templates:
     of: dict[str, Template]
     code: np.ndarray
     place: np.ndarray
+    spans: dict[int, np.ndarray] = field(default_factory=dict)  # of the words that were asked for
 
     def token(self, i: int) -> str:
-        return TOKEN.findall(self.words.vocab[self.code[i]])[self.place[i]].lower()
+        code = int(self.code[i])
+        word, spans = self.words.vocab[code], self.spans.get(code)
+        if spans is None:
+            spans = self.spans[code] = np.fromiter((x for m in TOKEN.finditer(word) for x in m.span()), "int32").reshape(-1, 2)
+        begin, end = spans[self.place[i]]
+        return word[begin:end].lower()
 
     def slots(self, at: int, width: int, template: str) -> list[str]:
         """The values in a window's placeholders, in order."""
@@ -250,7 +262,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         doc_rows, f"doc_id {kinds['doc_id']}, template string, place bigint, pos bigint, h bigint, slots array<string>")
-    return _judged(rows.join(bench, ["h", "template"]), coverage, drift)
+    if wanted is None:  # only those that the benchmark has are written
+        rows = rows.join(bench.select("h", "template").distinct(), ["h", "template"], "left_semi")
+    rows = staged(rows, "bench-hits")
+    pairs = staged(_pairs(rows, bench, coverage), "bench-pairs").withColumnsRenamed({"doc_id": "of", "template": "by"})
+    # By the window too, so a document or an id of many rows is spread.
+    asked = pairs.join(bench, pairs["item_id"].eqNullSafe(bench["item_id"]) & (pairs["by"] == bench["template"])).drop(
+        pairs["item_id"], bench["template"]).withColumnRenamed("h", "window")
+    hits = rows.join(asked, rows["doc_id"].eqNullSafe(asked["of"]) & (rows["template"] == asked["by"]) & (rows["h"] == asked["window"]))
+    return _judged(hits.drop("of", "by", "window"), coverage, drift)
+
+
+def _least(coverage: float) -> Column:
+    """How many of an item's windows must be found."""
+    return F.when(F.col("template") == "exact", F.lit(1.0)).otherwise(F.lit(coverage)) * F.col("n_windows")
+
+
+def _pairs(rows: DataFrame, bench: DataFrame, coverage: float) -> DataFrame:
+    """``doc_id, item_id, template`` of documents that hold one of the item's rarest windows, as many as any contaminated
+    document must hold one of."""
+    often = rows.groupBy("h", "template").agg(F.count("*").alias("often"))
+    item = Window.partitionBy("item_id", "template", "n_windows")
+    rarest = bench.drop("item_slots").join(often, ["h", "template"], "left").fillna(0, ["often"]).withColumn(
+        "rank", F.row_number().over(item.orderBy("often", "at"))).withColumn("all", F.count("*").over(item))
+    spare = F.col("all") - F.greatest(F.ceil(_least(coverage)), F.lit(1))
+    keys = rarest.where((F.col("rank") <= spare + 1) & (F.col("often") > 0)).select("h", "template", "item_id").distinct()
+    return rows.select("doc_id", "h", "template").join(keys, ["h", "template"]).select("doc_id", "item_id", "template").distinct()
 
 
 def _chain(hits: list[tuple[int, int]]) -> list[int]:
@@ -269,7 +306,9 @@ def _chain(hits: list[tuple[int, int]]) -> list[int]:
 
 def _consistent(hits: list[dict]) -> bool:
     held: dict[str, str] = {}
-    return all(held.setdefault(i, d) == d for x in hits for i, d in zip(x["item_slots"], x["slots"]) if i is not None)
+    back: dict[str, str] = {}
+    return all(held.setdefault(i, d) == d and (i[:1].isdigit() or back.setdefault(d, i) == i)
+               for x in hits for i, d in zip(x["item_slots"], x["slots"]) if i is not None)
 
 
 def _best(hits: list[dict], least: float, whole: bool) -> list[dict]:
@@ -298,7 +337,7 @@ def _judged(hits: DataFrame, coverage: float, drift: float) -> DataFrame:
     sets = rows.groupBy("doc_id", "item_id", "template", "n_windows", "band").agg(F.collect_set(
         F.struct("at", "place", "pos", "item_pos", "slots", "item_slots")).alias("hits"))
     whole = F.col("template") == "exact"
-    sets = sets.withColumn("least", F.when(whole, 1.0).otherwise(coverage) * F.col("n_windows")).where(F.size("hits") >= F.col("least"))
+    sets = sets.withColumn("least", _least(coverage)).where(F.size("hits") >= F.col("least"))
     ids = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in ("doc_id", "item_id"))
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

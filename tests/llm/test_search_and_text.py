@@ -1,8 +1,11 @@
 """Decontamination, main text, nearest neighbours and the pipeline against brute force and planted cases."""
 import math
 import random
+import time
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from hourcast.llm import decontaminate, nn_descent, site_tree
 
 # --- decontamination
 
+TABLES = "/root/testdata/sf0.001"
 ITEM = "Anna has 12 apples and gives 5 kg of them to Bob who already owns 12 pears in his small garden"
 OTHER = "the quick brown fox jumps over the lazy dog near the river bank"
 
@@ -30,7 +34,8 @@ CASES = {
     15: ("the quick brown fox sat down and the lazy dog near the hill slept", []),
     16: (None, []), 17: ("", []), 18: ("word " * 5000 + OTHER + " word" * 5000, [2]),
     19: ("Seven words make one short window here, too", [6]), 20: ((OTHER + " ") * 50, [2]),
-    21: ("12 5 12 5 12 5 12 5 12 5 12 5", [])}
+    21: ("12 5 12 5 12 5 12 5 12 5 12 5", []),
+    22: ("x. Maria has 7 apples and gives 7 kg of them to Carl who already owns 7 pears in his small garden", [1])}
 
 
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
@@ -82,6 +87,56 @@ def test_items_of_few_literals_are_found_verbatim(spark, limit):
     assert got == {(k, i) for k, (_, items) in FOUND.items() for i in items}
 
 
+def test_contaminated_against_brute_force(spark):
+    shared = "which of the following is true about the text above and why is it so"
+    items = [(i, t) for i, t in duckdb.sql(f"select item_id, text from '{TABLES}/benchmark.parquet'").fetchall()]
+    items += [(10_000 + k, f"{shared} {w} one {w} two {w} three") for k, w in enumerate(("red", "green", "blue"))] + [(10_003, shared), (10_003, LONG)]
+    docs = [(i, t) for i, t in duckdb.sql(f"select doc_id, text from '{TABLES}/documents.parquet'").fetchall()]
+    docs += [(-k, f"{shared} {t}") for k, (_, t) in enumerate(items[:40], 1)] + [(-99, shared), (-98, items[-3][1]), (-97, LONG)]
+    by_hash = {}
+    for b in decontaminate.benchmark_windows(items, 8, 5, 4).itertuples():
+        by_hash.setdefault((b.template, b.width, b.h), []).append(b)
+    sizes = sorted({k[:2] for k in by_hash})
+    want = set()
+    for doc, text in docs:
+        t = decontaminate.templates(decontaminate.Words(pa.array([text], pa.string())))
+        hits = {}
+        for name, size in sizes:
+            got, at = decontaminate.windows(t.of[name].hashes, t.of[name].offsets, size, decontaminate._SEED[name])
+            for h, place in zip(got.view("int64").tolist(), at.tolist()):
+                if name == "exact" and size < 3 and len(t.of[name].hashes) != size:
+                    continue
+                for b in by_hash.get((name, size, h), ()):
+                    slots = t.slots(place, size, name)
+                    if len(slots) == len(b.item_slots):
+                        one = {"at": b.at, "place": place, "pos": 0, "item_pos": 0, "slots": slots, "item_slots": b.item_slots}
+                        band = (place - b.at) // max(4, math.ceil(0.25 * b.n_windows))
+                        for x in (band, band - 1):
+                            hits.setdefault((b.item_id, name, b.n_windows, x), []).append(one)
+        want |= {(doc, item) for (item, name, n, _), found in hits.items()
+                 if decontaminate._best(found, n if name == "exact" else n / 2, name == "exact")}
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 40
+    assert (-98, 10_002) in want and (-99, 10_003) in want and (-97, 10_003) in want
+
+
+def test_two_people_do_not_become_one(spark):
+    bench = spark.createDataFrame([(1, "last week Anna lent her old bike to Bob and walked home")], "item_id bigint, text string")
+    texts = [f"so last week {a} lent her old bike to {b} and walked home again" for a, b in (("Mia", "Tom"), ("Mia", "Mia"), ("Bob", "Anna"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == {0, 2}
+
+
+def test_repeated_item_in_an_unspaced_text(spark):
+    item = "床前明月光疑是地上霜举头望明月低头思故乡一二三共九人走了五里路看见七只鸟"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, (item + "9") * 3000), (2, "霜" * 100_000)], "doc_id bigint, text string")
+    begun = time.monotonic()
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
+    assert time.monotonic() - begun < 60
+
+
 def test_contaminated_empty(spark, bench):
     docs = spark.createDataFrame([(1, OTHER)], "doc_id bigint, text string")
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
