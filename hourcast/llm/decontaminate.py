@@ -59,6 +59,7 @@ WORD_KIND, NUMBER, UNIT, NAME = 0, 1, 2, 3
 HELD = {"plain": (NUMBER, UNIT), "named": (NUMBER, UNIT, NAME), "exact": ()}  # what becomes a placeholder
 BROADCAST_WINDOWS = 2_000_000
 LONGEST = 64
+READ = 4 << 20  # bytes of text whose tokens are held at once, about 20 bytes for each of text
 _MARKS = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>")) for k in (NUMBER, NAME)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEED = {"plain": np.uint64(0x1F83D9ABFB41BD6B), "named": np.uint64(0x5BE0CD19137E2179),
@@ -212,7 +213,7 @@ def _document_windows(it: Iterator[pa.RecordBatch], sizes: list[tuple[str, int]]
                       wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Windows of documents that are wanted (all, if None), as ``doc_id, template, place, pos, h, slots``: the place among
     those of the template, and the first token."""
-    for part, words in text_batches(it):
+    for part, words in text_batches(it, size=READ):
         t, ids = templates(words), part.column(0)
         for name, size in sizes:
             one = t.of[name]
