@@ -59,7 +59,7 @@ WORD_KIND, NUMBER, UNIT, NAME = 0, 1, 2, 3
 HELD = {"plain": (NUMBER, UNIT), "named": (NUMBER, UNIT, NAME), "exact": ()}  # what becomes a placeholder
 BROADCAST_WINDOWS = 2_000_000
 LONGEST = 64
-READ = 4 << 20  # bytes of text whose tokens are held at once, about 20 bytes for each of text
+READ = 4 << 20  # bytes of text whose tokens are held at once
 _MARKS = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>")) for k in (NUMBER, NAME)}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEED = {"plain": np.uint64(0x1F83D9ABFB41BD6B), "named": np.uint64(0x5BE0CD19137E2179),
