@@ -3,19 +3,24 @@
 Each language has a probability for every piece of the vocabulary (counts of the tokenizer's own pieces,
 smoothed). A word's probability under a language is the sum over all ways to cut it into pieces, which a
 forward pass along the trie of the words computes: every prefix once, for all languages together, in logs.
-A text's score is the posterior of its best language under equal priors.
+A text's score is the posterior of its best language under equal priors. Beside it stands the gain: how much more
+likely, in nats a character, the best language makes the text than a background that gives every piece the same
+probability. A posterior only compares the learned languages; noise and other languages have a gain below 0,
+since most of their pieces were seldom or never seen. A model of a few hundred words has gains near 0: it knows too
+little to doubt anything.
 
 Bound on the fit: about ``per_language`` different labelled texts of each language, chosen by hash; each is read
 whole. Prediction reads every text whole and knows neither label, source nor id.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when nothing
-was learned. Equal scores go to the language first by code point. Repeated rows are judged alike.
+was learned; their gain is 0. Equal scores go to the language first by code point. Repeated rows are judged alike.
+Workers remember words of up to ``MAX_KEPT`` characters; longer ones are scored anew each time.
 """
 from __future__ import annotations
 
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Words, staged, text_batches, worker_memory
 
 MARK, UND = "▁", "und"
-CACHE = 400_000
+CACHE, MAX_KEPT = 400_000, 64
 BATCH = 6 << 20  # bytes of text whose words are held at once
 WALK = 40_000  # words whose trie is in memory at once
 FALLBACK = -18.0  # log probability of a character that no piece covers, alike in every language
@@ -40,8 +45,9 @@ class LanguageModel:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def _walk(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word (sorted, different) under each language."""
-        pieces = self.pieces
+        """Log probability of each word (sorted, different) under each language and, last, the background."""
+        pieces, columns = self.pieces, len(self.languages) + 1
+        log_p = np.hstack([self.log_p, np.full((len(self.log_p), 1), -np.log(max(len(self.log_p), 1)))])
         node_of, depth_of = array("l", [0]), array("l", [0])
         edge_node, edge_from, edge_piece = array("l"), array("l"), array("l")
         terminals, stack, before = array("l"), [0], ""
@@ -65,10 +71,10 @@ class LanguageModel:
             terminals.append(stack[-1])
         depth, node = np.array(depth_of), np.array(edge_node)
         came, piece = np.array(edge_from), np.array(edge_piece)
-        forward = np.zeros((len(depth), len(self.languages)))
+        forward = np.zeros((len(depth), columns))
         order = np.argsort(depth[node], kind="stable")
         node, came, piece = node[order], came[order], piece[order]
-        weight = np.vstack([self.log_p, np.full((1, len(self.languages)), FALLBACK)])  # row -1 is the fallback
+        weight = np.vstack([log_p, np.full((1, columns), FALLBACK)])  # row -1 is the fallback
         ends = np.searchsorted(depth[node], np.arange(1, depth.max() + 2))
         for lo, hi in zip(ends, ends[1:]):
             part = forward[came[lo:hi]] + weight[piece[lo:hi]]
@@ -79,30 +85,44 @@ class LanguageModel:
             forward[node[lo:hi][first]] = top + np.log(total)
         return forward[np.array(terminals)]
 
+    def _scored(self, words: list[str]) -> list[np.ndarray]:
+        """``_walk`` over sorted words, with one part's trie in memory at a time."""
+        return [self._walk(words[i:i + WALK]).astype("float32") for i in range(0, len(words), WALK)]
+
     def words(self, vocab: list[str]) -> np.ndarray:
-        known = worker_memory(("language", self.name), lambda: {"at": {}, "table": np.empty((0, len(self.languages)), "float32")})
+        """A row for each word: its log probability under each language and, last, the background."""
+        known = worker_memory(("language", self.name),
+                              lambda: {"at": {}, "table": np.empty((0, len(self.languages) + 1), "float32")})
         if len(known["at"]) > CACHE:
             known["at"], known["table"] = {}, known["table"][:0]
-        new = sorted(set(vocab).difference(known["at"]))
-        tables = [known["table"]]
-        for i in range(0, len(new), WALK):
-            tables.append(self._walk(new[i:i + WALK]).astype("float32"))
+        new = sorted(w for w in set(vocab).difference(known["at"]) if len(w) <= MAX_KEPT)
         at = len(known["table"])
-        known["table"] = np.concatenate(tables)
+        known["table"] = np.concatenate([known["table"], *self._scored(new)])
         known["at"].update(zip(new, range(at, at + len(new))))
-        return known["table"][np.fromiter(map(known["at"].__getitem__, vocab), "int64", len(vocab))].astype("float64")
-
-    def predict(self, words: Words) -> tuple[list[str], np.ndarray]:
+        place = np.fromiter((known["at"].get(w, -1) for w in vocab), "int64", len(vocab))
+        out = np.empty((len(vocab), len(self.languages) + 1))
+        out[place >= 0] = known["table"][place[place >= 0]]
+        long = sorted({vocab[i] for i in np.flatnonzero(place < 0)})
+        if long:
+            table, number = np.concatenate(self._scored(long)), {w: i for i, w in enumerate(long)}
+            out[place < 0] = table[[number[vocab[i]] for i in np.flatnonzero(place < 0)]]
+        return out
+
+    def predict(self, words: Words) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Best language, its posterior and its gain over the background, of each text."""
         n = len(words.offsets) - 1
-        letters = words.sums(np.array([any(map(str.isalpha, w)) for w in words.vocab], "int64")) if words.vocab else np.zeros(n)
-        if not self.languages:
-            return [UND] * n, np.zeros(n)
-        total = words.sums(self.words(words.vocab)) if words.vocab else np.zeros((n, len(self.languages)))
-        total -= total.max(axis=1, keepdims=True)
+        if not self.languages or not words.vocab:
+            return [UND] * n, np.zeros(n), np.zeros(n)
+        letters = words.sums(np.array([any(map(str.isalpha, w)) for w in words.vocab], "int64"))
+        length = words.sums(np.array([len(w) + 1 for w in words.vocab], "int64"))
+        both = words.sums(self.words(words.vocab))
+        total, background = both[:, :-1], both[:, -1]
+        best, row = total.argmax(axis=1), np.arange(n)
+        gain = (total[row, best] - background) / np.maximum(length, 1)
+        total = total - total.max(axis=1, keepdims=True)
         post = np.exp(total) / np.exp(total).sum(axis=1, keepdims=True)
-        best = total.argmax(axis=1)
         names = [self.languages[b] if k else UND for b, k in zip(best, letters)]
-        return names, np.where(letters > 0, post[np.arange(n), best], 0.0)
+        return names, np.where(letters > 0, post[row, best], 0.0), np.where(letters > 0, gain, 0.0)
 
 
 def vocabulary(path: str) -> tuple[object, list[str]]:
@@ -160,16 +180,20 @@ def fit(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", per_l
     return LanguageModel(list(languages), np.log(total / total.sum(axis=0)) if languages else total, pieces)
 
 
-def predict(df: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the columns ``names`` (best language, its posterior) to every row, in place of any so called; no shuffle."""
+def predict(df: DataFrame, model: LanguageModel, text: str = "text",
+            names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the columns ``names`` (best language, its posterior and, if a third is named, its gain) to every row, in
+    place of any so called; no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    names = tuple(names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in text_batches(it, text, BATCH):
-            best, scores = shared.value.predict(words)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(scores)],
-                                             [*part.schema.names, *names])
+            best, *figures = shared.value.predict(words)
+            added = [pa.array(best, pa.string()), *map(pa.array, figures)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *added[:len(names)]], [*part.schema.names, *names])
 
     kept = df.drop(*names)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
+    kinds = [f"`{name}` {kind}" for name, kind in zip(names, ("string", "double", "double"))]
+    return kept.mapInArrow(run, ", ".join(fields + kinds))

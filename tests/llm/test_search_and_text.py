@@ -321,15 +321,20 @@ def test_few_and_broken_vectors(spark):
 
 # --- the pipeline
 
+NOISE = "".join(np.random.default_rng(8).choice(list("abcdefghijklmnopqrstuvwxyz     "), 600))
+POLISH = ("Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są obdarzeni rozumem i sumieniem "
+          "i powinni postępować wobec innych w duchu braterstwa.")
+
 def test_pipeline_stages(spark, tmp_path):
-    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     first = base.orderBy("doc_id").first()
     extra = [(10**6, first.text, first.lang, first.source, first.n_chars), (10**6 + 1, None, "en", "src0", 0), (10**6 + 2, "1 2 3", None, None, 5),
-             (10**6 + 3, "", "de", "src1", 0)]
+             (10**6 + 3, "", "de", "src1", 0), (10**6 + 4, NOISE, None, "src0", len(NOISE)), (10**6 + 5, POLISH, None, "src0", len(POLISH)),
+             (10**6 + 6, "xylophone", None, "src0", 9)]
     docs = base.union(spark.createDataFrame(extra, base.schema))
     sf = str(tmp_path)
     docs.write.parquet(f"{sf}/documents.parquet")
-    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
     left, df = [], spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, df, sf).write.parquet(f"{sf}/{name}")
@@ -337,7 +342,7 @@ def test_pipeline_stages(spark, tmp_path):
         left.append(df)
     ids = [{r.doc_id for r in x.select("doc_id").collect()} for x in left]
     assert all(x.columns == docs.columns for x in left[:4])
-    assert ids[0] == {r.doc_id for r in base.collect()} | {10**6}  # nothing clean goes
+    assert ids[0] == {r.doc_id for r in base.collect()} | {10**6, 10**6 + 6}  # nothing clean goes, nor a word too short to judge
     assert 10**6 not in ids[1] and first.doc_id in ids[1]
     leaks = {r.doc_id for r in decontaminate.contaminated(left[1], spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert ids[2] == ids[1] - leaks and left[3].count() == left[4].count()

@@ -195,7 +195,7 @@ def test_language_forward_sums_all_segmentations(labelled):
     assert model.languages == ["de", "en", "fr"]
 
     def brute(word):
-        total = np.zeros(3)
+        total, uniform = np.zeros(4), 1 / len(model.log_p)
         t = language.MARK + word
 
         def cut(at, p):
@@ -207,9 +207,9 @@ def test_language_forward_sums_all_segmentations(labelled):
             for end in range(at + 1, len(t) + 1):
                 piece = model.pieces.get(t[at:end], -1)
                 if piece >= 0:
-                    cut(end, p * np.exp(model.log_p[piece]))
+                    cut(end, p * np.append(np.exp(model.log_p[piece]), uniform))
 
-        cut(0, np.ones(3))
+        cut(0, np.ones(4))
         return np.log(total)
 
     for w in ["house", "hous", "Dach", "é", "日本", "wxyz"]:
@@ -225,6 +225,27 @@ def test_language_predictions(spark, labelled):
     assert all(0 <= r.score <= 1 and r.extra == "kept" for r in got.values())
 
 
+def test_language_gain_tells_noise_and_unlearned_languages(spark, labelled):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")  # 30 short rows know too little to doubt anything
+    model, rng = language.fit(docs.unionByName(labelled.select("text", "lang"), allowMissingColumns=True), PIECES), np.random.default_rng(5)
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 600))
+    polish = "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są obdarzeni rozumem i sumieniem. "
+    texts = [*SAMPLES.values(), None, "", "12 34 !", noise, polish, "Все люди рождаются свободными и равными в своем достоинстве"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in language.predict(df, model, names=("lang", "score", "gain")).collect()}
+    assert all(got[i].gain > 0.5 for i in range(3)) and got[3].gain == got[4].gain == got[5].gain == 0
+    assert all(got[i].gain < -0.2 for i in (6, 7, 8)), [got[i].gain for i in (6, 7, 8)]
+
+
+def test_language_forgets_long_words(labelled):
+    from hourcast.llm.common import worker_memory
+    model = language.fit(labelled, PIECES)
+    words = ["house", "k" * (language.MAX_KEPT + 1), "k" * language.MAX_KEPT, "house" * 3000]
+    alone = np.array([language.LanguageModel(model.languages, model.log_p, model.pieces).words([w])[0] for w in words])
+    assert np.allclose(model.words(words), alone) and np.allclose(model.words(words[::-1]), alone[::-1])
+    assert set(worker_memory(("language", model.name), dict)["at"]) == {"house", words[2]}
+
+
 def test_language_sample_counts_copies_once(spark):
     rows = [("fr", f"texte {i % 20}") for i in range(8000)] + [("en", f"text {i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "lang string, text string")
