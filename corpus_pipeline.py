@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: each stage reads what the one before has written.
 
-The language stage drops texts without a language (null or no letter) and those whose best language is less
-likely than ``LEAST_SCORE``; near duplicates leave one document of each group; documents that hold a benchmark
+The language stage drops texts without a language (null or no letter) and those in none of the learned ones: noise
+and other languages, whose best language explains them worse than evenly likely pieces do, by ``LEAST_GAIN`` nats a
+character and ``LEAST_DOUBT`` nats in all (so that a few words too rare to be known are kept); near duplicates leave one document of each group; documents that hold a benchmark
 item go; sources are mixed to their weights (a document may come several times, or cut at the edge of its
 shard's run of blocks); the last stage writes token files and returns what they hold.
 
@@ -13,19 +14,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hourcast.llm import decontaminate, language, mixing, set_sketch, token_files
 from hourcast.llm.queries import END_ID, PIECES, TOKENIZER
 from hourcast.session import scratch_dir
 
-LEAST_SCORE = 0.3
+LEAST_GAIN, LEAST_DOUBT = -0.3, 30.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, public_tokenizers.path(PIECES))
-    judged = language.predict(docs, model, names=("__lang", "__likely"))
-    return judged.where((judged["__lang"] != language.UND) & (judged["__likely"] >= LEAST_SCORE)).select(*docs.columns)
+    judged = language.predict(docs, model, names=("__lang", "__likely", "__gain"))
+    foreign = (F.col("__gain") < LEAST_GAIN) & (F.col("__gain") * F.length("text") < -LEAST_DOUBT)
+    return judged.where((F.col("__lang") != language.UND) & ~foreign).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
