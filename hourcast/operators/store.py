@@ -70,9 +70,9 @@ def select_models(preds: DataFrame, registry: DataFrame, klass: str | None = Non
         keep = keep.where(F.col("klass") == klass)
     if families is not None:
         keep = keep.where(F.col("family").isin(*families))
-    return preds.join(keep, "model")
+    return preds.join(F.broadcast(keep), "model")  # one row a model, whatever Spark guesses of the predictions
 
 
 def unknown_models(preds: DataFrame, registry: DataFrame) -> DataFrame:
     """Models with predictions that the registry does not list."""
-    return preds.select("model").distinct().join(registry, "model", "left_anti")
+    return preds.select("model").distinct().join(F.broadcast(registry), "model", "left_anti")
