@@ -203,7 +203,9 @@ def with_baseline(pred: DataFrame, base: str = "base") -> DataFrame:
 
 def store_errors(preds: DataFrame, metered: DataFrame, tz: str | None = None) -> DataFrame:
     """Store rows with both values: (zone, ts_utc, model, pred) joined to (zone, ts_utc, metered)."""
-    return (preds.join(metered.where(F.col("metered").isNotNull()), ["zone", "ts_utc"])
+    # Both sides are hours of all zones. Where they are exploded from spans, Spark guesses too little and would broadcast one.
+    known = metered.where(F.col("metered").isNotNull()).hint("merge")
+    return (preds.join(known, ["zone", "ts_utc"])
             .withColumn("true_load", F.col("metered"))
             .withColumn("signed_error", F.col("pred") - F.col("metered")))
 
