@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import cyclic
 from ..schema import SampleConfig
 from .chunks import with_position
-from .samples import (_day_rows, _per_sample, _sequence_agg, lookback_join,
-                      normalise_24, sample_index)
+from .samples import _day_rows, assemble_windows, normalise_24, sample_index
 
 
 def joint_hourly(df: DataFrame, zones: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -38,7 +37,7 @@ def joint_samples(df: DataFrame, zones: Sequence[str], seq_cols: Sequence[str],
     cfg = SampleConfig(lookback=lookback, history=lookback, cutoff_hour=cutoff_hour, position="rank")
     index = sample_index(rows, cfg).where(F.col("status") == "ok")
     seq = [f"{z}_{c}" for z in zones for c in seq_cols] + [f"{first}_{t}" for t in temporal]
-    windows = _per_sample(lookback_join(rows, index, lookback), {"seq": _sequence_agg(seq, lookback)})
+    windows = assemble_windows(rows, index, seq, lookback)
     meta = F.min_by(F.struct(*[F.col(f"{first}_{c}").alias(c)
                                for c in ("dayofweek", "is_weekend", "is_holiday")]), "pos")
     days = rows.groupBy("zone", F.to_date("ts_local").alias("target_day")).agg(

@@ -201,3 +201,30 @@ def test_baselines(frame):
 def test_wall_clock_is_derived(frame):
     again = to_local(frame.drop("ts_local"), TZ).join(frame.select("ts_utc", F.col("ts_local").alias("w")), "ts_utc")
     assert again.where("ts_local <> w").count() == 0
+
+
+def test_a_window_that_is_not_read_is_not_built(spark, make_hourly):
+    """Statics alone never gather the channels of the window."""
+    import datetime as dt
+    from hourcast.operators.quality import add_calendar
+    n = 24 * 8
+    h = add_calendar(make_hourly(dt.datetime(2024, 3, 4, 5), {
+        "load": [1000.0 + i % 24 for i in range(n)], "load_est": [990.0 + i % 24 for i in range(n)],
+        "Temp_F": [50.0 + i % 30 for i in range(n)], "RelativeHumidity_pct": [40.0] * n})).withColumn("is_valid", F.lit(1))
+    cfg = SampleConfig(lookback=48, history=72, week=24, seq_cols=("load_est", "WetBulb_F"), position="clock")
+    out = S.build_samples(h, None, cfg)
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    assert "WetBulb" in plan(out) and "collect_list(struct(pos, pos" in plan(out.select("zone", "macro"))
+    assert plan(out.select("zone", "macro")).count("collect_list") < plan(out).count("collect_list")
+    rows = out.collect()
+    assert rows and all(len(r.seq) == 48 for r in rows)
+
+
+def test_feature_days_keep_a_window_once(spark):
+    from hourcast.operators import models as ML
+    days = spark.createDataFrame([("a", "2024-03-04", [1.0, 2.0], [(5.0,), (6.0,)]), ("a", "2024-03-05", [3.0, 4.0], [])],
+                                 "zone string, target_day string, lags array<double>, hourly array<struct<label:double>>")
+    rows = ML.hour_rows(days)
+    assert [(r.hour, r.label, r.lags) for r in rows.orderBy("hour").collect()] == [(0, 5.0, [1.0, 2.0]), (1, 6.0, [1.0, 2.0])]
