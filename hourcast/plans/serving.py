@@ -43,14 +43,15 @@ def fresh_rows(frame: DataFrame, metered: DataFrame, fc: DataFrame | None, refs:
     """What one run for all zones adds: a row for each real hour of its target days, with a column for each
     model and the metered load where it is known. A target that cannot be built is simply absent; its reason is
     in ``serving_samples``."""
-    extended = extend_future(frame, horizon, cfg.tz)
+    extended = stage(extend_future(frame, horizon, cfg.tz), "extended")  # read for index, windows, days and targets
     targets = daily_targets(frame, window, horizon, cfg.tz)
     samples = serving_samples(extended, targets, fc, refs, cfg)
     hours = expand_to_real_hours(apply_models(samples, models), cfg.tz)
     wide = hours.groupBy("zone", "ts_utc").agg(
         F.first("ts_local").alias("ts_local"),
         *[F.round(F.max(F.when(F.col("model") == m, F.col("yhat"))), 1).alias(f"{m}_pred") for m in models])
-    return wide.join(metered.select("zone", "ts_utc", F.col("load").alias("metered")), ["zone", "ts_utc"], "left")
+    known = metered.select("zone", "ts_utc", F.col("load").alias("metered")).hint("merge")  # hours of all zones
+    return wide.join(known, ["zone", "ts_utc"], "left")
 
 
 def roll(frame: DataFrame, metered: DataFrame, fc: DataFrame | None, refs: ThermalRefs,
@@ -58,7 +59,7 @@ def roll(frame: DataFrame, metered: DataFrame, fc: DataFrame | None, refs: Therm
          cfg: SampleConfig = SampleConfig(position="rank"), window: int = 8, horizon: int = 2,
          keep_days: int | None = 10) -> DataFrame:
     """``fresh_rows`` merged into a wide store, which is returned and not written."""
-    fresh = fresh_rows(frame, metered, fc, refs, models, cfg, window, horizon)
+    fresh = stage(fresh_rows(frame, metered, fc, refs, models, cfg, window, horizon), "fresh")
     empty = fresh.limit(0) if store is None else store
     return freeze_merge(empty, fresh, keep_days)
 
