@@ -14,6 +14,7 @@ from hourcast.schema import SampleConfig
 from .registry import rnd
 
 TZ = "America/New_York"
+BLOCK = 168
 SEQ = ("load_est", "Temp_F", "CDD_cum_24h")
 CFG = SampleConfig(lookback=48, history=72, week=24, test_frac=0.2, seq_cols=SEQ, position="clock")
 
@@ -37,6 +38,21 @@ def _cents(spark: SparkSession, d: str) -> DataFrame:
         F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("c"))
 
 
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    """Every hour between a zone's first and last event with its cents. What is shuffled is one row for a zone and block of
+    hours, holding the hours with an event; hours are unfolded after it, so the hours of a day lie in one partition."""
+    cents = _cents(spark, d)
+    span = cents.groupBy("z").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    held = (cents.where("h IS NOT NULL").groupBy("z", F.floor(F.col("h") / BLOCK).alias("b"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("h", "c"))).alias("cs")))
+    blocks = span.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))))
+    # A block is few bytes and many hours, so tasks must not be merged by their bytes.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hours = F.sequence(F.greatest("lo", F.col("b") * BLOCK), F.least("hi", F.col("b") * BLOCK + BLOCK - 1))
+    return (blocks.repartition(parts, "z", "b").join(held, ["z", "b"], "left").withColumn("h", F.explode(hours))
+            .select("z", "lo", "hi", "h", F.try_element_at("cs", "h").alias("c")))
+
+
 def _decorate(df: DataFrame) -> DataFrame:
     h, z, c = F.col("h"), F.col("z"), F.coalesce("c", F.lit(0))
     shift = F.when(z % 2 == 0, 60).otherwise(293)
@@ -56,10 +72,7 @@ def _decorate(df: DataFrame) -> DataFrame:
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
     """Dense hours of every zone."""
-    cents = _cents(spark, d)
-    span = cents.groupBy("z").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    grid = span.withColumn("h", F.explode(F.sequence("lo", "hi")))
-    return _decorate(grid.join(cents, ["z", "h"], "left"))
+    return _decorate(_dense(spark, d))
 
 
 def hourly_sparse(spark: SparkSession, d: str) -> DataFrame:

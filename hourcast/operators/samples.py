@@ -54,12 +54,14 @@ def sample_index(df: DataFrame, cfg: SampleConfig = SampleConfig()) -> DataFrame
 
 def lookback_join(df: DataFrame, index: DataFrame, hours: int, position: str = "rank",
                   windows: dict[str, Column] | None = None, reach: int = 0,
-                  size: int = CHUNK_HOURS) -> DataFrame:
+                  size: int | None = None) -> DataFrame:
     """Rows in [cutoff - hours, cutoff) of each sample, with ``off`` = rows before the cutoff.
 
     An equi-join on (zone, chunk): each row is copied only into the next chunk when a cutoff there
-    can see it. ``windows`` are evaluated once per row inside the chunk, ``reach`` rows back.
+    can see it. ``windows`` are evaluated once per row inside the chunk, ``reach`` rows back. A chunk is twice as long as
+    a row is seen unless given: half of the rows are copied, and a row meets few samples that do not see it.
     """
+    size = size or 2 * (hours + reach)
     rows = with_halo(with_position(df, position), hours + reach, size)
     if windows:
         rows = rows.withColumns(windows)
@@ -90,9 +92,16 @@ def window_rows(df: DataFrame, index: DataFrame, hours: int, fields: dict[str, C
         held = held.withColumns(windows)
     row = F.struct("pos", *[c.alias(n) for n, c in fields.items()])
     held = held.groupBy("zone", "chunk").agg(F.sort_array(F.collect_list(row)).alias("_held"))
+    # Seen once a chunk: where no position is missing or doubled, a window is a slice of known place.
+    first = F.col("_held")[0]["pos"]
+    gaps = F.transform("_held", lambda r, i: r["pos"] - i)
+    held = held.select("zone", "chunk", "_held", F.when((F.array_min(gaps) == first) & (F.array_max(gaps) == first), first).alias("_even"))
     keyed = index.withColumn("chunk", F.floor(F.col("cutoff_pos") / size)).hint("shuffle_hash")
     seen = F.filter("_held", lambda r: (r["pos"] < F.col("cutoff_pos")) & (r["pos"] >= F.col("cutoff_pos") - hours))
-    return keyed.join(held, ["zone", "chunk"], how).withColumn("rows", seen).drop("chunk", "_held")
+    start = F.greatest(F.col("cutoff_pos") - hours - F.col("_even"), F.lit(0))
+    cut = F.slice("_held", (start + 1).cast("int"), F.greatest(F.col("cutoff_pos") - F.col("_even") - start, F.lit(0)).cast("int"))
+    return (keyed.join(held, ["zone", "chunk"], how)
+            .withColumn("rows", F.when(F.col("_even").isNotNull(), cut).otherwise(seen)).drop("chunk", "_held", "_even"))
 
 
 def _region(lo: int, hi: int, rows: str = "rows") -> Column:
@@ -135,14 +144,16 @@ def assemble_windows(df: DataFrame, index: DataFrame, cols: Sequence[str], lookb
     return seen.select(*SAMPLE_KEYS, _sequence().alias("seq"))
 
 
-def flatten_windows(samples: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``seq`` -> one row per flattened column: (keys, name ``<col>_h<k>``, value), k = 0 oldest."""
-    long = samples.select(*SAMPLE_KEYS, F.posexplode("seq").alias("lag", "_row"))
-    names = F.array(*[F.lit(c.lower()) for c in cols])
-    return (long.select(*SAMPLE_KEYS, "lag", F.posexplode(F.arrays_zip(
-                names.alias("family"), F.col("_row").alias("value"))).alias("_j", "_e"))
-            .select(*SAMPLE_KEYS, F.concat("_e.family", F.lit("_h"), "lag").alias("name"),
-                    F.col("_e.value").alias("value")))
+def flatten_windows(samples: DataFrame, cols: Sequence[str], scalars: dict[str, Column] | None = None,
+                    carry: Sequence[str] = ()) -> DataFrame:
+    """``seq`` -> one row per flattened column: (keys, name ``<col>_h<k>``, value), k = 0 oldest. ``scalars`` of the sample
+    follow as further rows, and the columns ``carry`` ride along, so that neither needs a join."""
+    lags = F.flatten(F.transform("seq", lambda row, k: F.array(*[
+        F.struct(F.concat(F.lit(f"{c.lower()}_h"), k.cast("string")).alias("name"), row[j].alias("value"))
+        for j, c in enumerate(cols)])))
+    more = [F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in scalars.items()])] if scalars else []
+    return (samples.select(*SAMPLE_KEYS, *carry, F.explode(F.concat(lags, *more)).alias("_e"))
+            .select(*SAMPLE_KEYS, *carry, "_e.name", "_e.value"))
 
 
 def flat_vector(samples: DataFrame) -> DataFrame:
@@ -328,6 +339,12 @@ def fit_thermal_refs(df: DataFrame, test_frac: float = 0.16, half_window: int =
     return ThermalRefs(fit_heat_threshold(daily), fit_climatology(marked, half_window))
 
 
+def stage_refs(refs: ThermalRefs) -> ThermalRefs:
+    """References written once, for those who assemble more than one frame with them."""
+    from ..sources.tables import stage
+    return ThermalRefs(stage(refs.threshold, "threshold"), stage(refs.climatology, "climatology"))
+
+
 def _thermal_fields() -> dict[str, Column]:
     return {"date": F.to_date("ts_local"), "t": F.col("Temp_F").cast("double"), "c": F.col("CDD_h").cast("double")}
 
