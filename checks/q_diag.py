@@ -7,10 +7,11 @@ from hourcast.operators import diagnostics as D, samples as S
 from hourcast.operators.correlation import correlations
 from hourcast.schema import CALENDAR_NAMES
 from hourcast.sources.forecasts import clean_forecast
+from hourcast.sources.tables import stage
 
-from .q_sample import CALENDAR, DAY, day, usable
+from .q_sample import CALENDAR, DAY, cleaned, day, usable
 from .registry import query, rnd
-from .views import (ERRORS, FORECAST, HOURLY, TARGETS, calendar_hourly, errors, forecast, hourly, index_sql,
+from .views import (ERRORS, FORECAST, HOURLY, TARGETS, errors, forecast, hourly, index_sql,
                     r6, ts_text)
 
 VALUES = HOURLY + index_sql() + TARGETS + CALENDAR + """,
@@ -26,7 +27,7 @@ xy AS (SELECT * FROM fv JOIN tv USING (zone, target_day) JOIN live USING (zone,
 
 def light(spark, d):
     """Window, calendar and target of each sample, without the static blocks."""
-    h = calendar_hourly(spark, d)
+    h = cleaned(spark, d)
     index = usable(h)
     return (S.assemble_windows(h, index, ["load_est", "Temp_F"], 48, "clock")
             .join(S.target_calendar(h, "clock"), ["zone", "target_day"])
@@ -34,8 +35,9 @@ def light(spark, d):
 
 
 def _values(spark, d):
-    s = light(spark, d)
-    return D.feature_values(s, ["load_est", "Temp_F"]), s
+    """Features by name, and the samples they came from: written once, without the windows."""
+    s = stage(D.with_features(light(spark, d), SEQ).select("zone", "target_day", "features", "y"), "features")
+    return D.feature_values(s, SEQ), s
 
 
 def tidy(df, digits=4):
@@ -54,6 +56,12 @@ def _live(values):
     return values.join(D.dead_features(values).select("zone", "name"), ["zone", "name"], "left_anti")
 
 
+def _relations(spark, d, hour=None, power=1):
+    """The target rides along with the features, so the values are shuffled once, by zone and name."""
+    _, s = _values(spark, d)
+    return D.feature_relations(_live(D.feature_values(D.with_target(s, hour), SEQ, ["load"])), power=power)
+
+
 @query("diag_feature_values", "WITH " + VALUES + f"SELECT zone, {DAY}, name, ROUND(value, 5) + 0.0 AS value FROM fv JOIN tv USING (zone, target_day)")
 def diag_feature_values(spark, d):
     v, _ = _values(spark, d)
@@ -62,21 +70,18 @@ def diag_feature_values(spark, d):
 
 @query("diag_relations", "WITH " + VALUES + _REL.format(by="zone", x="value", y="load"))
 def diag_relations(spark, d):
-    v, s = _values(spark, d)
-    return tidy(D.feature_relations(_live(v), D.target_value(s)))
+    return tidy(_relations(spark, d))
 
 
 @query("diag_relations_hour", "WITH " + VALUES + _REL.format(by="zone", x="value", y="load15"))
 def diag_relations_hour(spark, d):
     """Against one target hour instead of the daily mean."""
-    v, s = _values(spark, d)
-    return tidy(D.feature_relations(_live(v), D.target_value(s, 15)))
+    return tidy(_relations(spark, d, hour=15))
 
 
 @query("diag_relations_squared", "WITH " + VALUES + _REL.format(by="zone", x="value * value", y="load"))
 def diag_relations_squared(spark, d):
-    v, s = _values(spark, d)
-    return tidy(D.feature_relations(_live(v), D.target_value(s), power=2))
+    return tidy(_relations(spark, d, power=2))
 
 
 @query("diag_season_relations", "WITH " + VALUES + """
@@ -204,14 +209,11 @@ SEQ = ["load_est", "Temp_F"]
 
 
 def importance(spark, d):
-    s = light(spark, d)
-    flat = S.flatten_windows(s, SEQ)
-    cal = s.select("zone", "target_day", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.col("calendar")[i].alias("value"))
-        for n, i in (("tmrw_dow_sin", 2), ("tmrw_dow_cos", 3), ("fc_dev_h7", 4))])).alias("_e"))
-    long = flat.unionByName(cal.select("zone", "target_day", "_e.name", "_e.value"))
-    rel = D.feature_relations(long, D.target_value(s), by=())
-    return rel.select("name", F.abs("r").alias("importance"))
+    """A hundred numbers, written once: their sum and their shares read them again."""
+    scalars = {n: F.col("calendar")[i] for n, i in (("tmrw_dow_sin", 2), ("tmrw_dow_cos", 3), ("fc_dev_h7", 4))}
+    long = S.flatten_windows(D.with_target(light(spark, d)), SEQ, scalars, ["load"])
+    rel = D.feature_relations(long, by=())
+    return stage(rel.select("name", F.abs("r").alias("importance")), "importance")
 
 
 @query("diag_importance_family", "WITH " + IMP + """

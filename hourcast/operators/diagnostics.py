@@ -64,28 +64,40 @@ def sum_importance(per_model: DataFrame) -> DataFrame:
 
 # ---- features against the target -----------------------------------------------------------
 
-def feature_values(samples: DataFrame, seq_cols: Sequence[str]) -> DataFrame:
-    """(zone, target_day, name, value): window mean per sequence column, raw calendar scalars."""
+def with_features(samples: DataFrame, seq_cols: Sequence[str]) -> DataFrame:
+    """``features``: name and value of each, to be written instead of the window when they are read more than once."""
     means = [F.struct(F.lit(c.lower()).alias("name"), channel_mean(j).alias("value"))
              for j, c in enumerate(seq_cols)]
     scalars = [F.struct(F.lit(c).alias("name"), F.col("calendar")[i].alias("value"))
                for i, c in enumerate(SCALARS["calendar"])]
-    return (samples.select("zone", "target_day", F.explode(F.array(*means, *scalars)).alias("_e"))
-            .select("zone", "target_day", "_e.name", "_e.value"))
+    return samples.withColumn("features", F.array(*means, *scalars))
+
+
+def feature_values(samples: DataFrame, seq_cols: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """(zone, target_day, name, value): window mean per sequence column, raw calendar scalars; columns ``carry`` ride along."""
+    rows = samples if "features" in samples.columns else with_features(samples, seq_cols)
+    return (rows.select("zone", "target_day", *carry, F.explode("features").alias("_e"))
+            .select("zone", "target_day", *carry, "_e.name", "_e.value"))
 
 
 def target_value(samples: DataFrame, hour: int | None = None) -> DataFrame:
     """(zone, target_day, load): the daily mean of y, or one hour of it."""
+    return with_target(samples, hour).select("zone", "target_day", "load")
+
+
+def with_target(samples: DataFrame, hour: int | None = None) -> DataFrame:
+    """``load`` beside all else of a sample, as ``target_value`` has it."""
     y = (F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / F.size("y") if hour is None
          else F.get("y", hour))
-    return samples.select("zone", "target_day", y.alias("load"))
+    return samples.withColumn("load", y)
 
 
-def feature_relations(values: DataFrame, target: DataFrame, power: int = 1,
+def feature_relations(values: DataFrame, target: DataFrame | None = None, power: int = 1,
                       by: Sequence[str] = ("zone",)) -> DataFrame:
-    """Pearson r and the OLS line of load on value ** power, per feature, in one aggregation."""
+    """Pearson r and the OLS line of load on value ** power, per feature, in one aggregation. Without ``target`` the values
+    carry their ``load``, and no value is joined."""
     x = F.pow("value", F.lit(float(power))) if power != 1 else F.col("value")
-    joined = (values.join(target, ["zone", "target_day"])
+    joined = ((values if target is None else values.join(target, ["zone", "target_day"]))
               .where(F.col("value").isNotNull() & F.col("load").isNotNull()).withColumn("_x", x))
     return joined.groupBy(*by, "name").agg(
         F.corr("_x", "load").alias("r"), F.regr_slope("load", "_x").alias("slope"),
