@@ -3,7 +3,7 @@
 A row holds its values as one array. For each block of columns every task multiplies its rows' block with all columns
 from there on (a few matrix products a batch) and gives the sums of each pair once; they are added up before
 and after the shuffle. Memory of a task is ``block`` times the number of columns, whatever the number of rows; the
-plan has one scan a block instead of one aggregate expression a pair.
+plan has one scan a block, of the arrays written once, instead of one aggregate expression a pair.
 
 A pair is computed from the rows where both values are there; nulls and NaN are missing. A pair with fewer than two
 such rows, or a column that does not vary in them, has a null correlation.
@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import stage
+
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 _OUT = 100_000
 
@@ -57,7 +59,8 @@ def correlations(rows: DataFrame, names: Sequence[str], values: str | Column | N
     width = len(names)
     array = F.array(*[F.col(c).cast("double") for c in names]) if values is None else (
         F.col(values) if isinstance(values, str) else values)
-    data = rows.select(array.cast("array<double>").alias("v")).where("v is not null")
+    # Read once a block of columns, made once.
+    data = stage(rows.select(array.cast("array<double>").alias("v")).where("v is not null"), "correlations")
     first = data.first()
     # Sums are taken around one row, so large values lose no digits.
     shift = np.nan_to_num(np.array(first.v if first else [0.0] * width, "float64"))
