@@ -222,11 +222,14 @@ WHERE i.target_day > l.m - 4 GROUP BY 1""")
 def serving_parity(spark, d):
     """The last days rebuilt from a 21-day window with frozen references equal the training samples."""
     h = cleaned(spark, d)
-    refs = S.fit_thermal_refs(h, CFG.test_frac, position="clock")
+    refs = S.stage_refs(S.fit_thermal_refs(h, CFG.test_frac, position="clock"))
+    days = h.groupBy("zone", F.to_date("ts_local").alias("target_day")).agg(F.lit(1).alias("_d"))
     last = h.groupBy("zone").agg(F.max(F.to_date("ts_local")).alias("_m"))
-    full = S.assemble(h, None, CFG, refs).join(last, "zone").where("target_day > date_sub(_m, 4) AND status IN ('ok', 'bad_target')")
+    late = days.join(last, "zone").where("target_day > date_sub(_m, 4)").select("zone", "target_day")
+    # Few of the days are compared; they are built once from all hours, and read three times.
+    full = TB.stage(S.assemble(h, None, CFG, refs, late).where("status IN ('ok', 'bad_target')"), "full")
     targets = full.select("zone", "target_day")
-    served = S.serving_samples(TB.recent(h, 21), targets, None, refs, CFG)
+    served = S.serving_samples(TB.stage(TB.recent(h, 21), "recent"), targets, None, refs, CFG)
     bad = D.parity(full, served, ["zone", "target_day"], ["seq", "macro", "thermal", "calendar"])
     n = full.groupBy("zone").agg(F.count(F.lit(1)).alias("n_compared"))
     issues = bad.groupBy("zone").agg(F.count(F.lit(1)).alias("n_issues"))
