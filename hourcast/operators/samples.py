@@ -375,15 +375,15 @@ def _thermal_array() -> Column:
     return F.array(
         F.col("streak").cast("double"), F.col("_max1"), F.col("_cdd1"), F.col("_max3"),
         F.col("_cdd1") / (F.col("_cdd2") + 1e-3), F.col("_ma1") - F.col("_ma3"),
-        F.col("_ma1") - F.col("clim"))
+        F.col("_ma1") - F.try_element_at("_clim", "_doy"))
 
 
 def _with_refs(feats: DataFrame, df: DataFrame, refs: ThermalRefs) -> DataFrame:
     streak = heat_streak(daily_temperature(df), refs.threshold).select(
         "zone", F.col("local_date").alias("_last_day"), "streak")
-    clim = refs.climatology.select("zone", F.col("doy").alias("_doy"), "clim")
-    return (feats.join(streak, ["zone", "_last_day"], "left")
-            .join(clim, ["zone", "_doy"], "left"))
+    # One row a zone: days of the year exploded from zones look like one row a zone, and would be broadcast all of them.
+    clim = refs.climatology.groupBy("zone").agg(F.map_from_entries(F.collect_list(F.struct("doy", "clim"))).alias("_clim"))
+    return feats.join(streak, ["zone", "_last_day"], "left").join(clim, "zone", "left")
 
 
 def thermal_static(df: DataFrame, index: DataFrame, refs: ThermalRefs,
