@@ -426,8 +426,8 @@ def _land_metered(spark, d):
     path = scratch_dir(spark, "metered")
     (rows.repartition("zone").sortWithinPartitions("h", "copy").drop("h", "copy")
      .write.partitionBy("year").option("header", "true").option("ignoreLeadingWhiteSpace", "false")
-     .option("ignoreTrailingWhiteSpace", "false").csv(path))
-    return f"{path}/year=*/*.csv"
+     .option("ignoreTrailingWhiteSpace", "false").option("compression", "gzip").csv(path))
+    return f"{path}/year=*/*.csv.gz"
 
 
 @query("io_metered", "WITH " + HOURLY + f""",
@@ -458,8 +458,8 @@ def io_preliminary(spark, d):
         F.col("zone").alias("load_area"), F.col("load_est").alias("prelim_load_avg_hourly"))
     assert rows.columns == PRELIMINARY.names
     path = scratch_dir(spark, "prelim")
-    TB.write_table(rows, path, fmt="csv")
-    return keyed(L.load_preliminary(spark, f"{path}/*.csv", {"1": "one"}, {"one": 8.0}), r6("load_est"))
+    TB.write_table(rows, path, fmt="csv", compression="gzip")
+    return keyed(L.load_preliminary(spark, f"{path}/*.csv.gz", {"1": "one"}, {"one": 8.0}), r6("load_est"))
 
 
 @query("io_weather_json", "WITH " + HOURLY + """

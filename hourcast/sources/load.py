@@ -54,7 +54,8 @@ def best_metered(scan: DataFrame, zone: str = "zone") -> DataFrame:
 
 def load_metered(spark: SparkSession, path: str) -> DataFrame:
     """Verified metered load: union of files, first row per hour, unverified tail dropped."""
-    rows = best_metered(scan_csv(spark, path, METERED))
+    # The verified end and the rows up to it are read one after the other; files are deduplicated once.
+    rows = stage(best_metered(scan_csv(spark, path, METERED)), "metered")
     return drop_unverified_tail(rows).select("zone", "ts_utc", "ts_local", "load")
 
 

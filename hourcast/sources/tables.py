@@ -29,9 +29,11 @@ def refresh_years(df: DataFrame, path: str, years: Sequence[int], ts: str = "ts_
      .partitionBy(*partition).parquet(path))
 
 
-def write_table(df: DataFrame, path: str, partition: Sequence[str] = (), fmt: str = "parquet") -> None:
+def write_table(df: DataFrame, path: str, partition: Sequence[str] = (), fmt: str = "parquet", compression: str | None = None) -> None:
     """Replace a whole table, in Parquet or CSV."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    if compression:
+        writer = writer.option("compression", compression)
     if partition:
         writer = writer.partitionBy(*partition)
     writer.format(fmt).option("header", "true").save(path)

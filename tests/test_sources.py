@@ -94,3 +94,20 @@ def test_ingest_plan(spark, make_hourly):
     assert view.count() == 24 * 4 and view.agg(F.min("load")).first()[0] > 0 and "has_label" not in view.columns
     with pytest.raises(ValueError, match="not contiguous"):
         training_frame(met.where("hour(ts_utc) <> 12"), pre, wall)
+
+
+@pytest.mark.parametrize("name", ["metered", "preliminary"])
+def test_landed_files_are_compressed_and_read_once(spark, tmp_path, monkeypatch, name):
+    """What is landed is text of every hour: kept compressed, and deduplicated by one scan."""
+    import glob
+    from checks import QUERIES
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(z, at + dt.timedelta(hours=h), 1.5) for z in (1, 2) for h in (0, 5, 90)],
+                          "user_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr("checks.q_store.scratch_dir", lambda _, label: f"{tmp_path}/{label}")
+    out = QUERIES[f"io_{name}"](spark, str(tmp_path))
+    # Hours 0 to 90; the last 30 are unverified, and so is every hour that leaves 7 over 50.
+    assert out.count() == 2 * (91 if name == "preliminary" else 61)
+    assert " csv" not in out._jdf.queryExecution().optimizedPlan().toString()
+    landed = glob.glob(f"{tmp_path}/*/**/*.csv*", recursive=True)
+    assert landed and all(f.endswith(".csv.gz") for f in landed)
