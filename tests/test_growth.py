@@ -104,3 +104,31 @@ def test_histograms_equal_one_row_a_feature(spark, groups):
     assert cells.dtypes == want.dtypes
     got, want = ({tuple(r)[:5]: (r.n, round(r.s, 9) + 0.0) for r in f.collect()} for f in (cells, want))
     assert got == want
+
+
+def test_exploded_arrays_are_worked_out_once(spark):
+    """Exploded by name, an array would be worked out once more by a filter that asks for its size."""
+    from checks.q_sample import exploded
+    rows = spark.range(2).select(F.lit("a").alias("zone"), F.lit(dt.date(2024, 1, 1)).alias("target_day"),
+                                 F.when(F.col("id") == 0, F.array_sort(F.array(F.col("id") + 2.0, F.col("id") + 1.00049))).alias("v"))
+    out = exploded(rows, "v", 3)
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[2:] for r in out.orderBy("idx").collect()] == [(0, 1.0), (1, 2.0)]
+
+
+def test_regions_are_slices_where_no_hour_is_missing(spark, make_hourly):
+    """Regions of windows that begin late, and of windows with a hole, hold what a filter by position finds."""
+    h = make_hourly(dt.datetime(2024, 11, 2, 4), {"load": np.arange(96.0).tolist()}).withColumn("pos", F.expr("timestampdiff(hour, timestamp'2024-11-02 04:00:00', ts_utc)"))
+    index = spark.createDataFrame([("a", dt.date(2024, 11, d), c) for d, c in ((3, 5), (4, 30), (5, 72), (6, 96))], "zone string, target_day date, cutoff_pos long")
+    for rows, even in ((h, True), (h.where("pos <> 50"), False)):
+        seen = S.window_rows(rows, index, 48, {"hour": F.hour("ts_local"), "t": F.col("load")}, "clock", size=960)
+        got = (seen.withColumns({f"r{k}": S._region(lo, hi) for k, (lo, hi) in enumerate([(1, 24), (25, 48), (1, 72), (47, 50)])})
+               .withColumns(S._reference_regions(48)).withColumns(S._reference_aggs(65.0)).collect())
+        assert len(got) == 4 and all((r.from_pos is not None) == even for r in got)
+        for r in got:
+            for k, (lo, hi) in enumerate([(1, 24), (25, 48), (1, 72), (47, 50)]):
+                assert [x.pos for x in r[f"r{k}"]] == [x.pos for x in r.rows if lo <= r.cutoff_pos - x.pos <= hi]
+            if len(r.rows) > 24:  # the clock goes back within: an hour may be there three times
+                for hour in range(24):
+                    want = [x.t for x in r.rows if x.hour == hour]
+                    assert r._ref[hour] == pytest.approx(np.mean(want or [x.t for x in r.rows]))
