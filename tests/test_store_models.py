@@ -122,3 +122,25 @@ def test_importance_and_unknown_loss(spark, rows):
     assert imp["x"] > imp["noise"]
     with pytest.raises(ValueError):
         ML.make_regressor("pinball")
+
+
+@pytest.mark.parametrize("name", ["ml_boosted_hourly", "ml_boosted_residual_routed", "ml_importance", "ml_l1_early_stop"])
+def test_boosted_queries_grow_all_rounds(spark, monkeypatch, name):
+    """The queries fit what the library fits: its own number of rounds, not a few."""
+    from checks import QUERIES, q_model
+    from hourcast.operators import models
+    assert models.boosted_trees().getMaxIter() == 100
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def fit_model(samples, seq_cols, name, regressor, **kw):
+        asked.append(regressor())
+        raise Asked
+
+    monkeypatch.setattr(q_model, "fit_model", fit_model)
+    monkeypatch.setattr(q_model, "samples_of", lambda spark, d: None)
+    with pytest.raises(Asked):
+        QUERIES[name](spark, "")
+    assert asked[0].getMaxIter() == 100
